@@ -41,6 +41,7 @@ TRIAL_TREES = 10
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+LANDED: dict[tuple[str, str], str] = {}
 
 
 def query(fn: Query) -> Query:
@@ -92,20 +93,39 @@ def _feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     return features.build_features(_fact(spark, folder).select(*oracles.FACT_SLICE))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written out and read back, for steps that go over their input repeatedly."""
+    path = f"{_work_folder(df.sparkSession)}/stored"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _work_folder(spark: SparkSession) -> str:
     """A fresh folder on the shared storage the cluster names."""
     return f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
-def _landed_bronze(spark: SparkSession, folder: str, root: str) -> None:
-    """Bronze files as the landing job leaves them."""
-    (
-        event_feed.with_arrival(_bronze(spark, folder))
-        .hint("rebalance", "dt", "hour")
-        .write.partitionBy("dt", "hour")
-        .option("compression", "gzip")
-        .json(root)
+def _landed_bronze(spark: SparkSession, folder: str) -> str:
+    """Bronze files as the landing job leaves them, once per session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in LANDED:
+        root = f"{_work_folder(spark)}/bronze"
+        (
+            event_feed.with_arrival(_bronze(spark, folder))
+            .hint("rebalance", "dt", "hour")
+            .write.partitionBy("dt", "hour")
+            .option("compression", "gzip")
+            .json(root)
+        )
+        LANDED[key] = root
+    return LANDED[key]
+
+
+def _rebuilt_silver(spark: SparkSession, folder: str, root: str) -> str:
+    silver_plan.rebuild_silver(
+        spark, _landed_bronze(spark, folder), f"{root}/silver", f"{root}/quarantine"
     )
+    return f"{root}/silver"
 
 
 # --- Bronze ----------------------------------------------------------------------
@@ -119,9 +139,7 @@ def bronze_rows(spark, folder):
 @query
 def bronze_landed(spark, folder):
     """Written as partitioned gzip NDJSON, read back with the fixed schema."""
-    root = _work_folder(spark)
-    _landed_bronze(spark, folder, root)
-    return bronze_source.read_bronze(spark, root)
+    return bronze_source.read_bronze(spark, _landed_bronze(spark, folder))
 
 
 @query
@@ -219,10 +237,21 @@ def silver_rows(spark, folder):
 @query
 def silver_table(spark, folder):
     """Silver written by the rebuild job from landed Bronze, read back."""
+    stored = _rebuilt_silver(spark, folder, _work_folder(spark))
+    return silver_plan.read_silver(spark, stored)
+
+
+@query
+def quarantine_table(spark, folder):
+    """The quarantine the same job writes, by reported date."""
     root = _work_folder(spark)
-    _landed_bronze(spark, folder, f"{root}/bronze")
-    silver_plan.rebuild_silver(spark, f"{root}/bronze", f"{root}/silver", f"{root}/quarantine")
-    return silver_plan.read_silver(spark, f"{root}/silver")
+    _rebuilt_silver(spark, folder, root)
+    stored = spark.read.parquet(f"{root}/quarantine")
+    return stored.groupBy(F.col("sensing_date").cast("string").alias("sensing_date")).agg(
+        F.count("*").alias("quarantined_rows"),
+        F.count("location_id").alias("with_location"),
+        F.count("event_ts_utc").alias("with_time"),
+    )
 
 
 @query
@@ -257,12 +286,12 @@ def observed_dates(spark, folder):
 
 @query
 def dim_date(spark, folder):
-    return _star(spark, folder)["dim_date"]
+    return gold.dim_date(_stg(spark, folder))
 
 
 @query
 def dim_sensor(spark, folder):
-    return _star(spark, folder)["dim_sensor"]
+    return gold.dim_sensor(gold.observe_sensors(_stg(spark, folder)))
 
 
 @query
@@ -274,9 +303,8 @@ def fact_hourly(spark, folder):
 def gold_published(spark, folder):
     """The fact as published by the job that checks every rule first."""
     root = _work_folder(spark)
-    _landed_bronze(spark, folder, f"{root}/bronze")
-    silver_plan.rebuild_silver(spark, f"{root}/bronze", f"{root}/silver", f"{root}/quarantine")
-    gold_plan.publish_gold(spark, f"{root}/silver", f"{root}/gold", f"{root}/staging")
+    stored = _rebuilt_silver(spark, folder, root)
+    gold_plan.publish_gold(spark, stored, f"{root}/gold", f"{root}/staging")
     return gold_plan.read_marts(spark, f"{root}/gold")["fact_footfall_hourly"]
 
 
@@ -303,7 +331,7 @@ def scd2_point_in_time(spark, folder):
     )
     versions = scd2.build_versions(event_feed.attribute_feed(_events(spark, folder)), ["status"])
     versions = versions.select("location_id", "status", "valid_from", "valid_to")
-    return scd2.point_in_time_join(readings, versions, "event_ts_utc")
+    return scd2.point_in_time_join(readings, _stored(versions), "event_ts_utc")
 
 
 # --- quality ------------------------------------------------------------------------
@@ -311,8 +339,9 @@ def scd2_point_in_time(spark, folder):
 
 @query
 def dq_report(spark, folder):
-    rows = _silver(spark, folder)
-    star = gold.star_schema(gold.staging_view(rows))
+    rows = _stored(_silver(spark, folder))
+    hourly = _stored(gold.hourly_counts(gold.staging_view(rows)))
+    star = gold.star_schema_from_hourly(hourly)
     return quality.run_checks({"silver_pedestrian": rows, **star})
 
 
@@ -448,7 +477,7 @@ def top_bars(spark, folder):
 def snapshot(spark, folder):
     star = _star(spark, folder)
     facts = serving.facts_with_current_sensor(star["fact_footfall_hourly"], star["dim_sensor"])
-    document = serving.snapshot(facts, serving.sensor_locations(spark))
+    document = serving.snapshot(_stored(facts), serving.sensor_locations(spark))
     return document.select(F.to_json(F.struct("*")).alias("document"))
 
 
@@ -496,14 +525,14 @@ def feature_rows_chunked(spark, folder):
 
 @query
 def time_split(spark, folder):
-    return forecast.with_split(_feature_rows(spark, folder)).select(
+    return forecast.with_split(_stored(_feature_rows(spark, folder))).select(
         "sensor_key", "date_key", "event_hour", "split"
     )
 
 
 @query
 def naive_metrics(spark, folder):
-    marked = forecast.with_split(_feature_rows(spark, folder))
+    marked = forecast.with_split(_stored(_feature_rows(spark, folder)))
     metrics = forecast.error_metrics(forecast.seasonal_naive(marked))
     return metrics.select(
         F.round("mae", 6).alias("mae"), F.round("mape", 6).alias("mape"), "n_train", "n_test"
@@ -513,10 +542,7 @@ def naive_metrics(spark, folder):
 @query
 def gbt_metrics(spark, folder):
     """A trial fit with few trees; the library's default is 300."""
-    root = _work_folder(spark)
-    _feature_rows(spark, folder).write.parquet(f"{root}/features")
-    stored = spark.read.parquet(f"{root}/features")
-    return forecast.train(stored, max_iter=TRIAL_TREES)[1]
+    return forecast.train(_stored(_feature_rows(spark, folder)), max_iter=TRIAL_TREES)[1]
 
 
 # --- increments and streams ---------------------------------------------------------------
@@ -592,9 +618,8 @@ def stream_landing(spark, folder):
 @query
 def stream_silver(spark, folder):
     """Silver as the streaming job leaves it after several micro-batches."""
-    root = _work_folder(spark)
-    _landed_bronze(spark, folder, f"{root}/bronze")
-    source = silver_stream.read_bronze_stream(spark, f"{root}/bronze", files_per_trigger=400)
+    root, landed = _work_folder(spark), _landed_bronze(spark, folder)
+    source = silver_stream.read_bronze_stream(spark, landed, files_per_trigger=400)
     silver_stream.stream_silver(
         source, f"{root}/silver", f"{root}/quarantine", f"{root}/staging", f"{root}/c", once=True
     ).awaitTermination()
@@ -604,10 +629,9 @@ def stream_silver(spark, folder):
 @query
 def stream_rolling(spark, folder):
     """Tumbling sums of a Bronze stream, every window shown (complete mode)."""
-    root = _work_folder(spark)
-    _landed_bronze(spark, folder, f"{root}/bronze")
+    root, landed = _work_folder(spark), _landed_bronze(spark, folder)
     readings = rolling.typed_stream(
-        silver_stream.read_bronze_stream(spark, f"{root}/bronze", files_per_trigger=10_000)
+        silver_stream.read_bronze_stream(spark, landed, files_per_trigger=10_000)
     )
     name = f"rolling_{uuid.uuid4().hex}"
     (
@@ -626,10 +650,9 @@ def stream_rolling(spark, folder):
 @query
 def stream_state(spark, folder):
     """Latest reading per sensor kept up by the streaming job."""
-    root = _work_folder(spark)
-    _landed_bronze(spark, folder, f"{root}/bronze")
+    root, landed = _work_folder(spark), _landed_bronze(spark, folder)
     readings = rolling.typed_stream(
-        silver_stream.read_bronze_stream(spark, f"{root}/bronze", files_per_trigger=400)
+        silver_stream.read_bronze_stream(spark, landed, files_per_trigger=400)
     )
     rolling.stream_state(
         readings, f"{root}/state", f"{root}/staging", f"{root}/c", once=True

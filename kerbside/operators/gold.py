@@ -118,12 +118,15 @@ def fact_hourly(hourly: DataFrame, dim: DataFrame) -> DataFrame:
     )
 
 
-def star_schema(stg: DataFrame) -> dict[str, DataFrame]:
-    """All three tables from one aggregation of the staging view."""
-    hourly = hourly_counts(stg)
+def star_schema_from_hourly(hourly: DataFrame) -> dict[str, DataFrame]:
     sensors = dim_sensor(observe_sensors_hourly(hourly))
     return {
         "dim_date": dim_date(hourly),
         "dim_sensor": sensors,
         "fact_footfall_hourly": fact_hourly(hourly, sensors),
     }
+
+
+def star_schema(stg: DataFrame) -> dict[str, DataFrame]:
+    """All three tables from one aggregation of the staging view."""
+    return star_schema_from_hourly(hourly_counts(stg))

@@ -244,22 +244,23 @@ def snapshot(facts: DataFrame, locations: DataFrame) -> DataFrame:
         for s in ("actual", "predicted")
     }
 
-    def counts(frame: DataFrame) -> Column:
-        return F.transform(frame.scalar(), lambda e: e["avg_count"])
-
-    meta = snapshot_meta(facts)
-    return meta.select(
-        F.transform(
-            sensor_list.scalar(),
-            lambda e: F.struct(
-                e["location_id"].alias("id"),
-                *[e[c].alias(c) for c in ("name", "lat", "lon", "total", "current")],
-            ),
-        ).alias("sensors"),
-        F.struct(*[counts(profiles[d]).alias(d) for d in DAY_TYPES]).alias("hourly"),
+    lists = {"sensor_list": sensor_list, **profiles, **outlooks}
+    collected = snapshot_meta(facts).select(
+        "*", *[frame.scalar().alias(name) for name, frame in lists.items()]
+    )
+
+    def counts(name: str) -> Column:
+        return F.transform(name, lambda e: e["avg_count"]).alias(name)
+
+    def as_entry(e: Column) -> Column:
+        rest = [e[c].alias(c) for c in ("name", "lat", "lon", "total", "current")]
+        return F.struct(e["location_id"].alias("id"), *rest)
+
+    return collected.select(
+        F.transform("sensor_list", as_entry).alias("sensors"),
+        F.struct(*[counts(d) for d in DAY_TYPES]).alias("hourly"),
         F.struct(
-            F.lit(ACTUAL_HOURS[-1]).alias("from_hour"),
-            *[counts(outlooks[s]).alias(s) for s in ("actual", "predicted")],
+            F.lit(ACTUAL_HOURS[-1]).alias("from_hour"), counts("actual"), counts("predicted")
         ).alias("forecast"),
         F.struct("total_readings", "gold_facts", "sensor_versions").alias("meta"),
     )

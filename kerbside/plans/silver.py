@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.operators.silver import (
-    clean_counts,
-    deduplicate,
+    deduplicate_silver,
     is_valid,
-    parse_and_type,
-    select_silver_columns,
+    parse_timestamps,
     split_valid_and_quarantine,
     transform,
+    valid_to_silver,
 )
 from kerbside.schemas import SILVER_COLUMNS, SILVER_SCHEMA
-from kerbside.sources.bronze import read_bronze
+from kerbside.sources.bronze import read_bronze, spread_few_files
 from kerbside.sources.sinks import (
     exists,
     finish_staged,
+    in_silver_layout,
     staged_overwrite,
     write_quarantine,
     write_silver,
@@ -50,11 +50,10 @@ def rebuild_silver(
     Nothing is cached: the Silver job counts unusable rows in passing, and
     Bronze is read again only when there are any to write.
     """
-    bronze = read_bronze(spark, bronze_root)
-    typed, seen = observe_quality(parse_and_type(bronze))
+    bronze = spread_few_files(read_bronze(spark, bronze_root))
+    typed, seen = observe_quality(parse_timestamps(bronze))
     valid, _ = split_valid_and_quarantine(typed)
-    cleaned = valid.transform(clean_counts).transform(select_silver_columns)
-    write_silver(deduplicate(cleaned), silver_path)
+    write_silver(valid_to_silver(valid), silver_path)
     if seen.get["quarantined_rows"]:
         write_quarantine(transform(bronze)[1], quarantine_path)
     return seen.get
@@ -86,8 +85,9 @@ def upsert_silver(spark: SparkSession, new_rows: DataFrame, path: str, staging:
         return
     merged = new
     if exists(spark, path):
-        merged = deduplicate(new.unionByName(touched_dates(read_silver(spark, path), new)))
-    staged_overwrite(merged, path, f"{staging}/merged", "event_date")
+        stored = touched_dates(read_silver(spark, path), new)
+        merged = deduplicate_silver(new.unionByName(stored))
+    staged_overwrite(in_silver_layout(merged), path, f"{staging}/merged", "event_date")
 
 
 def add_arrivals(
@@ -100,7 +100,9 @@ def add_arrivals(
     end: str,
 ) -> None:
     """Whole arrival days into Silver and quarantine; repeating it is harmless."""
-    silver, quarantined = transform(read_bronze(spark, bronze_root, start, end))
+    silver, quarantined = transform(
+        spread_few_files(read_bronze(spark, bronze_root, start, end))
+    )
     upsert_silver(spark, silver, silver_path, staging)
     if not quarantined.isEmpty():
         write_quarantine(quarantined, quarantine_path)

@@ -80,6 +80,16 @@ def on_arrival_day(bronze: DataFrame, as_of: str | date | Column) -> DataFrame:
     return bronze.filter(F.col("dt") == day)
 
 
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Share out the rows of a scan that has fewer splits than there are cores.
+
+    Gzip files cannot be split, so a few large ones would leave most of a
+    cluster idle. Any larger scan is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- API pages --------------------------------------------------------------
 
 
@@ -135,8 +145,8 @@ def to_records(readings: DataFrame, ingested_at: Column) -> DataFrame:
 
 
 def to_ndjson(records: DataFrame) -> DataFrame:
-    """One JSON object per row, as a text or stream sink takes it."""
+    """One JSON object per row and its sensor as key, as a stream sink takes it."""
     return records.select(
         F.col("location_id").cast("string").alias("key"),
-        F.to_json(F.struct(*[F.col(c) for c in records.columns])).alias("value"),
+        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"),
     )

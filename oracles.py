@@ -19,6 +19,7 @@ BRONZE_COLUMNS = (
     "location_id, sensing_datetime, sensing_date, sensing_time, direction_1, direction_2, "
     "total_of_directions, dedupe_key, ingested_at"
 )
+READING_COLUMNS = BRONZE_COLUMNS.split(", ")[:7]
 TYPED_COLUMNS = (
     BRONZE_COLUMNS + ", event_ts_utc, ingested_ts_utc, event_ts_local, event_date, event_hour, "
     "day_of_week, is_weekend"
@@ -516,6 +517,17 @@ def all_sql() -> dict[str, str]:
             """,
             "page_records",
         ),
+        "stream_records": chain(
+            f"""
+            SELECT CAST(location_id AS VARCHAR) AS key, CAST(to_json(record) AS VARCHAR) AS value
+            FROM (
+                SELECT location_id, {{{', '.join(f"'{c}': {c}" for c in READING_COLUMNS)},
+                    'dedupe_key': CAST(location_id AS VARCHAR) || '#' || sensing_datetime,
+                    'ingested_at': '2024-01-15T12:00:00+00:00'}} AS record
+                FROM bronze)
+            """,
+            "bronze",
+        ),
         # Silver
         "typed": chain(f"SELECT {TYPED_COLUMNS} FROM typed", "typed"),
         "valid_rows": chain(f"SELECT {TYPED_COLUMNS} FROM valid", "valid"),
@@ -556,6 +568,16 @@ def all_sql() -> dict[str, str]:
         "silver_rows": chain(silver, "silver"),
         "silver_table": chain(silver, "silver"),
         "stream_silver": chain(silver, "silver"),
+        "quarantine_table": chain(
+            """
+            SELECT sensing_date, count(*) AS quarantined_rows,
+                count(location_id) AS with_location, count(event_ts_utc) AS with_time
+            FROM typed
+            WHERE location_id IS NULL OR location_id <= 0 OR event_ts_utc IS NULL
+            GROUP BY sensing_date
+            """,
+            "typed",
+        ),
         "late_flag": chain(
             """
             SELECT dedupe_key, event_ts_utc, ingested_ts_utc,
@@ -754,6 +776,33 @@ def all_sql() -> dict[str, str]:
             """,
             "totals",
         ),
+        "snapshot": chain(
+            f"""
+            SELECT CAST(to_json({{
+                'sensors': (SELECT list({{'id': t.location_id, 'name': l.name,
+                        'lat': CAST(l.lat AS DOUBLE), 'lon': CAST(l.lon AS DOUBLE),
+                        'total': t.total, 'current': t.current}} ORDER BY t.location_id)
+                    FROM totals t JOIN {LOCATIONS} ON t.location_id = l.location_id),
+                'hourly': {{
+                    'weekday': (SELECT list(avg_count ORDER BY event_hour) FROM dense
+                        WHERE day_type = 'weekday'),
+                    'weekend': (SELECT list(avg_count ORDER BY event_hour) FROM dense
+                        WHERE day_type = 'weekend')}},
+                'forecast': {{
+                    'from_hour': 15,
+                    'actual': (SELECT list(avg_count ORDER BY event_hour) FROM dense
+                        WHERE day_type = 'weekday' AND event_hour BETWEEN 9 AND 15),
+                    'predicted': (SELECT list(avg_count ORDER BY event_hour) FROM dense
+                        WHERE day_type = 'weekday' AND event_hour BETWEEN 15 AND 21)}},
+                'meta': {{
+                    'total_readings': (SELECT count(pedestrian_count) FROM facts),
+                    'gold_facts': (SELECT count(*) FROM facts),
+                    'sensor_versions': (SELECT count(DISTINCT sensor_key) FROM facts)}}
+            }}) AS VARCHAR) AS document
+            """,
+            "totals",
+            "dense",
+        ),
         # features and forecast
         "time_features": chain("SELECT * FROM timed", "timed"),
         "lag_features": chain(
