@@ -37,6 +37,12 @@ from kerbside.streaming import silver as silver_stream  # noqa: E402
 SMOKE_FOLDER = "/root/testdata/sf0.001"
 AS_OF_DAY = "2024-01-15"
 AS_OF_TIME = "2024-01-15 12:00:00"
+ARRIVAL_WINDOW = ("2024-01-10", "2024-01-12")
+ARRIVAL_LOADS = [
+    ("2024-01-01", "2024-01-10"),
+    ("2024-01-11", "2024-01-20"),
+    ("2024-01-21", "2024-01-31"),
+]
 TRIAL_TREES = 10
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +148,13 @@ def bronze_landed(spark, folder):
     return bronze_source.read_bronze(spark, _landed_bronze(spark, folder))
 
 
+@query
+def bronze_window(spark, folder):
+    """Declared arrival days only, listed instead of discovered."""
+    landed = _landed_bronze(spark, folder)
+    return bronze_source.read_bronze(spark, landed, *ARRIVAL_WINDOW)
+
+
 @query
 def bronze_day(spark, folder):
     arrived = event_feed.with_arrival(_bronze(spark, folder))
@@ -241,6 +254,17 @@ def silver_table(spark, folder):
     return silver_plan.read_silver(spark, stored)
 
 
+@query
+def silver_incremental(spark, folder):
+    """Silver after loads of successive arrival days, each merged into it."""
+    landed, root = _landed_bronze(spark, folder), _work_folder(spark)
+    for start, end in ARRIVAL_LOADS:
+        silver_plan.add_arrivals(
+            spark, landed, f"{root}/silver", f"{root}/quarantine", f"{root}/staging", start, end
+        )
+    return silver_plan.read_silver(spark, f"{root}/silver")
+
+
 @query
 def quarantine_table(spark, folder):
     """The quarantine the same job writes, by reported date."""
@@ -530,10 +554,15 @@ def time_split(spark, folder):
     )
 
 
+@query
+def split_sizes(spark, folder):
+    return forecast.split_sizes(forecast.with_split(_stored(_feature_rows(spark, folder))))
+
+
 @query
 def naive_metrics(spark, folder):
     marked = forecast.with_split(_stored(_feature_rows(spark, folder)))
-    metrics = forecast.error_metrics(forecast.seasonal_naive(marked))
+    metrics = forecast.error_metrics(marked, forecast.seasonal_naive)
     return metrics.select(
         F.round("mae", 6).alias("mae"), F.round("mape", 6).alias("mape"), "n_train", "n_test"
     )

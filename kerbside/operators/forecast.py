@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -94,16 +96,23 @@ def percentage_error(actual: str, predicted: str) -> Column:
 
 
 def error_metrics(
-    scored: DataFrame, actual: str = TARGET_COLUMN, predicted: str = "prediction"
+    marked: DataFrame,
+    predict: Callable[[DataFrame], DataFrame],
+    actual: str = TARGET_COLUMN,
+    predicted: str = "prediction",
 ) -> DataFrame:
-    """Errors on the test rows and both split sizes, in one pass."""
-    test = F.col("split") == "test"
+    """Errors on the test rows and both split sizes; only test rows are scored."""
+    scored = predict(marked.filter(F.col("split") == "test"))
+    train_rows = marked.filter(F.col("split") == "train").agg(F.count("*")).scalar()
     return scored.agg(
-        F.avg(F.when(test, absolute_error(actual, predicted))).alias("mae"),
-        F.avg(F.when(test, percentage_error(actual, predicted))).alias("mape"),
-        F.count_if(F.col("split") == "train").alias("n_train"),
-        F.count_if(test).alias("n_test"),
-    )
+        F.avg(absolute_error(actual, predicted)).alias("mae"),
+        F.avg(percentage_error(actual, predicted)).alias("mape"),
+        F.count("*").alias("n_test"),
+    ).select("mae", "mape", train_rows.alias("n_train"), "n_test")
+
+
+def split_sizes(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("split").agg(F.count("*").alias("rows"))
 
 
 def seasonal_naive(df: DataFrame) -> DataFrame:
@@ -154,14 +163,10 @@ def train(
     """
     ensure_checkpoint_dir(features.sparkSession)
     marked = with_split(features)
-    fitted = (
-        Pipeline(stages=[assembler(), boosted_trees(max_iter, **params)]).fit(
-            marked.filter(F.col("split") == "train").withColumn(
-                "log_target", F.log1p(F.col(TARGET_COLUMN).cast("double"))
-            )
-        )
-    )
-    return fitted, error_metrics(score(fitted, marked))
+    log_target = F.log1p(F.col(TARGET_COLUMN).cast("double"))
+    train_rows = marked.filter(F.col("split") == "train").withColumn("log_target", log_target)
+    fitted = Pipeline(stages=[assembler(), boosted_trees(max_iter, **params)]).fit(train_rows)
+    return fitted, error_metrics(marked, lambda test: score(fitted, test))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

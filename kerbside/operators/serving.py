@@ -63,8 +63,8 @@ def facts_with_current_sensor(fact: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def located(facts: DataFrame, locations: DataFrame) -> DataFrame:
-    """Rows of known sensors with name and position; pass a fixed short list."""
-    return facts.join(F.broadcast(locations), "location_id", "inner")
+    """Rows of known sensors with name and position."""
+    return facts.join(locations, "location_id", "inner")
 
 
 # --- aggregates ----------------------------------------------------------------

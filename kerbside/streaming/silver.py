@@ -29,9 +29,12 @@ def stream_silver(
     staging: str,
     checkpoint: str,
     once: bool = False,
+    every: str = "1 hour",
 ) -> StreamingQuery:
     """Keep the latest copy of each reading, whichever batch brings it.
 
+    A batch rewrites the dates it touches, today's above all, so batches should
+    be few and large: hourly unless told otherwise.
     A replayed batch changes nothing: merging is idempotent and the batch's
     quarantine partition, named after checkpoint and batch, is replaced.
     """
@@ -43,7 +46,7 @@ def stream_silver(
         if not quarantined.isEmpty():
             write_quarantine(quarantined, quarantine_path, F.lit(f"{stream_id}-{batch_id}"))
 
-    trigger = {"availableNow": True} if once else {"processingTime": "60 seconds"}
+    trigger = {"availableNow": True} if once else {"processingTime": every}
     return (
         bronze.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)

@@ -455,6 +455,10 @@ def all_sql() -> dict[str, str]:
         # Bronze
         "bronze_rows": chain(f"SELECT {BRONZE_COLUMNS} FROM bronze", "bronze"),
         "bronze_landed": chain(bronze_arrival, "bronze"),
+        "bronze_window": chain(
+            f"SELECT * FROM ({bronze_arrival}) WHERE dt BETWEEN '2024-01-10' AND '2024-01-12'",
+            "bronze",
+        ),
         "bronze_day": chain(
             f"SELECT * FROM ({bronze_arrival}) WHERE dt = '2024-01-15'", "bronze"
         ),
@@ -567,6 +571,7 @@ def all_sql() -> dict[str, str]:
         """,
         "silver_rows": chain(silver, "silver"),
         "silver_table": chain(silver, "silver"),
+        "silver_incremental": chain(silver, "silver"),
         "stream_silver": chain(silver, "silver"),
         "quarantine_table": chain(
             """
@@ -823,6 +828,7 @@ def all_sql() -> dict[str, str]:
         "feature_rows": chain(f"SELECT {feature_names} FROM feature", "feature"),
         "feature_rows_chunked": chain(f"SELECT {feature_names} FROM feature", "feature"),
         "time_split": chain("SELECT sensor_key, date_key, event_hour, split FROM split", "split"),
+        "split_sizes": chain("SELECT split, count(*) AS rows FROM split GROUP BY split", "split"),
         "naive_metrics": chain(
             """
             SELECT round(avg(abs(target_next_hour - greatest(lag_24h, 0)))

@@ -143,7 +143,7 @@ class TestMetrics:
     def test_clipping(self, spark):
         rows = [("test", 10, -4.0), ("test", 0, 0.2), ("test", 4, 6.0), ("train", 9, 900.0)]
         scored = spark.createDataFrame(rows, f"split string, {TARGET_COLUMN} bigint, prediction double")
-        got = forecast.error_metrics(scored).first()
+        got = forecast.error_metrics(scored, lambda test: test).first()
         assert math.isclose(got["mae"], (10 + 0.2 + 2) / 3)
         assert math.isclose(got["mape"], (0.9 + 0.0 + 0.5) / 3)
         assert (got["n_train"], got["n_test"]) == (1, 3)
@@ -164,7 +164,7 @@ class TestModel:
         built, (_, metrics) = fitted
         marked = forecast.with_split(built)
         mean = marked.filter("split = 'train'").agg(F.avg(TARGET_COLUMN)).first()[0]
-        flat = forecast.error_metrics(marked.withColumn("prediction", F.lit(mean))).first()
+        flat = forecast.error_metrics(marked, lambda t: t.withColumn("prediction", F.lit(mean))).first()
         got = metrics.first()
         assert 0 < got["mae"] < flat["mae"] / 2
         assert got["n_train"] == int(built.count() * 0.8)
