@@ -543,7 +543,7 @@ def feature_rows(spark, folder):
 @query
 def feature_rows_chunked(spark, folder):
     """The same with windows per sensor and week."""
-    fact = _fact(spark, folder).select(*oracles.FACT_SLICE)
+    fact = _stored(_fact(spark, folder).select(*oracles.FACT_SLICE))
     return _rounded(features.build_features(fact, chunk="week"))
 
 

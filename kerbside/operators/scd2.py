@@ -64,7 +64,8 @@ def build_versions(
     )
     valid_to = F.coalesce("next_start", "start_after")
     return closed.select(
-        surrogate_key(key_text(key), key_text("valid_from", timestamp=True)).alias("sensor_key"),
+        # The time is taken whole: versions may start within one second.
+        surrogate_key(key_text(key), key_text("valid_from")).alias("sensor_key"),
         key,
         *[F.col("state")[name].alias(name) for name in attributes],
         "valid_from",

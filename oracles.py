@@ -279,8 +279,8 @@ STEPS: dict[str, tuple[list[str], str]] = {
     "versions": (
         ["starts"],
         """
-        SELECT md5(CAST(location_id AS VARCHAR) || '-' ||
-                   strftime(valid_from, '%Y-%m-%d %H:%M:%S')) AS sensor_key,
+        SELECT md5(CAST(location_id AS VARCHAR) || '-' || CAST(valid_from AS VARCHAR))
+                AS sensor_key,
             location_id, status, valid_from,
             lead(valid_from) OVER (PARTITION BY location_id ORDER BY valid_from) AS valid_to,
             lead(valid_from) OVER (PARTITION BY location_id ORDER BY valid_from) IS NULL

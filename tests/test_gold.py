@@ -127,6 +127,11 @@ class TestVersions:
         built = scd2.build_versions(feed_frame(spark, rows), ["street"], chunk=chunk)
         assert version_rows(built) == expected_versions(rows)
 
+    def test_keys_differ_within_one_second(self, spark):
+        rows = [(1, START + timedelta(milliseconds=n), "AB"[n % 2]) for n in range(9)]
+        built = scd2.build_versions(feed_frame(spark, rows), ["street"])
+        assert built.select("sensor_key").distinct().count() == 9
+
     def test_merging_in_parts_equals_building_at_once(self, spark):
         rows = sorted(random_feed(4, 200), key=lambda r: r[1])
         first = scd2.build_versions(feed_frame(spark, rows[:120]), ["street"])
