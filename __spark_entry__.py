@@ -62,7 +62,7 @@ def query(fn: Query) -> Query:
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return event_feed.read_table(spark, folder, "events")
+    return bronze_source.spread_few_files(event_feed.read_table(spark, folder, "events"))
 
 
 def _bronze(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +82,8 @@ def _stg(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return gold.star_schema(_stg(spark, folder))
+    """The marts from stored hourly counts, as the publishing job builds them."""
+    return gold.star_schema_from_hourly(_stored(gold.hourly_counts(_stg(spark, folder))))
 
 
 def _fact(spark: SparkSession, folder: str) -> DataFrame:
