@@ -98,11 +98,12 @@ def add_arrivals(
     staging: str,
     start: str,
     end: str,
-) -> None:
+) -> dict[str, int]:
     """Whole arrival days into Silver and quarantine; repeating it is harmless."""
-    silver, quarantined = transform(
-        spread_few_files(read_bronze(spark, bronze_root, start, end))
-    )
-    upsert_silver(spark, silver, silver_path, staging)
-    if not quarantined.isEmpty():
-        write_quarantine(quarantined, quarantine_path)
+    bronze = spread_few_files(read_bronze(spark, bronze_root, start, end))
+    typed, seen = observe_quality(parse_timestamps(bronze))
+    valid, _ = split_valid_and_quarantine(typed)
+    upsert_silver(spark, valid_to_silver(valid), silver_path, staging)
+    if seen.get.get("quarantined_rows"):
+        write_quarantine(transform(bronze)[1], quarantine_path)
+    return seen.get

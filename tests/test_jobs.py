@@ -80,6 +80,15 @@ class TestSilverJobs:
         assert content(silver_plan.read_silver(spark, paths["silver"])) == added
         assert content(spark.read.parquet(paths["quarantine"])) == bad
 
+    def test_days_without_arrivals_change_nothing(self, spark, paths):
+        rebuild(spark, paths)
+        before = content(silver_plan.read_silver(spark, paths["silver"]))
+        silver_plan.add_arrivals(
+            spark, paths["bronze"], paths["silver"], paths["quarantine"], paths["staging"],
+            "2031-01-01", "2031-01-02",
+        )
+        assert content(silver_plan.read_silver(spark, paths["silver"])) == before
+
     def test_untouched_dates_keep_their_files(self, spark, paths, tmp_path):
         rebuild(spark, paths)
         before = {p.name for p in (tmp_path / "silver" / "event_date=2026-03-12").iterdir()}
