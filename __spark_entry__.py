@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import sys
 import uuid
 from collections.abc import Callable
@@ -729,9 +730,30 @@ def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["fact_hourly"](spark, SMOKE_FOLDER)
 
 
+def _module(name: str):
+    """A module of the training-data operators, or None in an installation
+    without them. Any other failure to import is raised."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as error:
+        if error.name in ("kerbside.llm", "kerbside.llm.queries", "corpus_pipeline"):
+            return None
+        raise
+
+
+LLM = _module("kerbside.llm.queries")
+PIPELINE = _module("corpus_pipeline")
+
+
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    added = dict(LLM.QUERIES) if LLM else {}
+    if PIPELINE:
+        added["pipeline"] = PIPELINE.run
+    return {**QUERIES, **added}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    added = dict(LLM.ORACLE_SQL) if LLM else {}
+    if PIPELINE and PIPELINE.ORACLE_SQL:
+        added["pipeline"] = PIPELINE.ORACLE_SQL
+    return {**oracles.all_sql(), **added}
