@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from kerbside.llm.common import PieceMemo, runs, small_batches, whole_text
+from kerbside.llm.common import PieceMemo, prepare_workers, runs, whole_text
 
 # The pattern by which byte-level BPE cuts text into pieces.
 PIECES = regex.compile(
@@ -30,7 +30,7 @@ PIECES = regex.compile(
 )
 # A space after other white space: there a piece may span words.
 WIDE_SPACE = regex.compile(r"\s ")
-TREE_CELLS = 4_000_000
+TREE_CELLS = 1_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -260,7 +260,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     an empty table an empty one, other columns stay; a column of the name
     ``ids`` is replaced.
     """
-    small_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
 
     @arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
@@ -276,7 +276,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
     A NULL array counts as empty and gives the empty text. Ids outside the
     vocabulary fail. Other columns stay; one of the name ``text`` is replaced.
     """
-    small_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
 
     @arrow_udf("string")
     def decoded(arrays: pa.Array) -> pa.Array:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 from itertools import chain, repeat
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +40,23 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows per Arrow batch, since a row here holds a whole text."""
+SHIPPED: set[str] = set()
+
+
+def prepare_workers(spark: SparkSession, rows: int = 500) -> None:
+    """Python workers get this package, as ``--py-files`` would give it to them,
+    and fewer rows per Arrow batch, since a row here holds a whole text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    context = spark.sparkContext
+    if context.applicationId not in SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        # The driver serves the archive to workers for as long as it lives.
+        folder = tempfile.mkdtemp(prefix="kerbside-archive-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        copy = Path(folder) / "all" / package.name
+        shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", copy.parent))
+        SHIPPED.add(context.applicationId)
 
 
 def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -59,7 +77,7 @@ class PieceMemo:
     def __init__(
         self,
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-        limit: int = 500_000,
+        limit: int = 300_000,
     ):
         self.encode, self.limit = encode, limit
         self.clear()

@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe
-from kerbside.llm.common import read_table, whole_text
+from kerbside.llm import bpe, token_count, token_store
+from kerbside.llm.common import read_table, shared_folder, whole_text
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
+STORE_END_ID = 2
+TOKEN_LIMIT = 2048
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,7 +33,29 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as read back from the token files."""
+    root = f"{shared_folder(spark)}/tokens"
+    token_store.write(read_table(spark, folder, "documents"), root, WORD_BPE, STORE_END_ID)
+    return token_store.read(spark, root).select(
+        "doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32")
+    )
+
+
+def op5_token_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of each text."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, WORD_BPE).select(
+        "doc_id",
+        F.octet_length(whole_text()).cast("bigint").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
+    "op4_token_store": op4_token_store,
+    "op5_token_count": op5_token_count,
 }
 ORACLE_SQL: dict[str, str] = {}
