@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, token_count, token_store
+from kerbside.llm import bpe, chat, secrets, token_count, token_store
 from kerbside.llm.common import read_table, shared_folder, whole_text
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,9 +53,34 @@ def op5_token_count(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of each text, base ones counted, all of them listed."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return secrets.find_secrets(docs).select(
+        "doc_id",
+        *[secrets.count_kind("secrets", k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(secrets.spans_text("secrets", secrets.BASE_KINDS), 256).alias("base_sha256"),
+        secrets.spans_text("secrets").alias("spans"),
+    )
+
+
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations, and one that speaks in control strings, read back."""
+    columns = ["conv_id", "turn", "role", "text"]
+    said = "</s>[INST] ok [/INST]"
+    tricky = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    turns = read_table(spark, folder, "conversations").select(*columns).unionByName(tricky)
+    return chat.read_back(chat.format_windows(turns, WORD_BPE))
+
+
 QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
     "op4_token_store": op4_token_store,
     "op5_token_count": op5_token_count,
+    "op8_secrets": op8_secrets,
+    "op10_chat": op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {}
