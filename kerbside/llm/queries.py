@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, chat, secrets, token_count, token_store
+from kerbside.llm import bpe, chat, secrets, token_count, token_store, toxicity
 from kerbside.llm.common import read_table, shared_folder, whole_text
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,18 @@ TOKEN_LIMIT = 2048
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's score, by a model that never saw held-out labels."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.is_held_out().alias("held_out"),
+        "score",
+        toxicity.is_toxic().cast("int").alias("predicted"),
+    )
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of each text and the text they decode to."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
@@ -77,6 +89,7 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op3_bpe": op3_bpe,
     "op4_token_store": op4_token_store,
     "op5_token_count": op5_token_count,
