@@ -1,0 +1,96 @@
+"""Words of texts, and how many documents hold each."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kerbside.llm.common import prepare_workers, whole_text
+
+EDGES = re.compile(r"^\W+|\W+$")
+NO_WORD = 0  # code of a run of signs
+
+
+def normal_word(run: str) -> str:
+    """A run without white space as a word: lower case, no signs at its ends."""
+    return EDGES.sub("", run.lower())
+
+
+class WordCodes:
+    """The 64-bit hash of each word, remembered within a Python worker by the
+    run of characters it is written as."""
+
+    def __init__(self, limit: int = 400_000):
+        self.limit = limit
+        self.known: dict[str, int] = {}
+
+    def of(self, runs: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        codes = list(map(known.get, runs))
+        if None in codes:
+            for i, run in enumerate(runs):
+                if codes[i] is None:
+                    word = normal_word(run)
+                    code = xxhash.xxh3_64_intdigest(word) if word else NO_WORD
+                    codes[i] = known[run] = code
+        found = np.array(codes, np.uint64)
+        return found[found != NO_WORD] if NO_WORD in codes else found
+
+
+CODES = WordCodes()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """The hashes of a text's words, in order."""
+    return CODES.of(text.split())
+
+
+def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word hash as bigint, df): the documents that hold each word.
+
+    Every task adds up its own documents first, so the shuffle gets a row for
+    each distinct word of a task, however common the word is.
+    """
+    prepare_workers(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                found = np.unique(word_hashes(value))
+                waiting.append(found)
+                size += len(found)
+            if size > 2_000_000:
+                words, counts = merged(words, counts, waiting)
+                waiting, size = [], 0
+                if len(words) > 2_000_000:
+                    yield frequency_batch(words, counts)
+                    words, counts = words[:0], counts[:0]
+        words, counts = merged(words, counts, waiting)
+        yield frequency_batch(words, counts)
+
+    parts = docs.select(whole_text(text).alias("body")).mapInArrow(count, "word bigint, n bigint")
+    return parts.groupBy("word").agg(F.sum("n").alias("df"))
+
+
+def merged(words, counts, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every = np.concatenate([words, *found])
+    weights = np.concatenate([counts, np.ones(len(every) - len(words), np.int64)])
+    out, place = np.unique(every, return_inverse=True)
+    return out, np.bincount(place, weights, minlength=len(out)).astype(np.int64)
+
+
+def frequency_batch(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"]
+    )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, chat, secrets, token_count, token_store, toxicity
+from kerbside.llm import bpe, chat, imatch, secrets, token_count, token_store, toxicity
 from kerbside.llm.common import read_table, shared_folder, whole_text
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of each text, of its edited text, and their likeness."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return imatch.with_next(docs, imatch.lexicon(docs))
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of each text and the text they decode to."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
@@ -90,6 +96,7 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_imatch": op2_imatch,
     "op3_bpe": op3_bpe,
     "op4_token_store": op4_token_store,
     "op5_token_count": op5_token_count,
