@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, chat, imatch, secrets, token_count, token_store, toxicity
+from kerbside.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    imatch,
+    secrets,
+    token_count,
+    token_store,
+    toxicity,
+)
 from kerbside.llm.common import read_table, shared_folder, whole_text
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +80,13 @@ def op5_token_count(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds benchmark items, with each of these."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, read_table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of each text, base ones counted, all of them listed."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
@@ -100,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
     "op4_token_store": op4_token_store,
     "op5_token_count": op5_token_count,
+    "op6_decontaminate": op6_decontaminate,
     "op8_secrets": op8_secrets,
     "op10_chat": op10_chat,
 }
