@@ -13,6 +13,7 @@ from kerbside.llm import (
     chat,
     decontaminate,
     imatch,
+    near_dup,
     secrets,
     token_count,
     token_store,
@@ -98,6 +99,12 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the least id of its class of near duplicates."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs).select("doc_id", "class_id")
+
+
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations, and one that speaks in control strings, read back."""
     columns = ["conv_id", "turn", "role", "text"]
@@ -118,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_count": op5_token_count,
     "op6_decontaminate": op6_decontaminate,
     "op8_secrets": op8_secrets,
+    "op9_near_dup": op9_near_dup,
     "op10_chat": op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {}
