@@ -15,6 +15,7 @@ from kerbside.llm import (
     imatch,
     near_dup,
     secrets,
+    substring_dedup,
     token_count,
     token_store,
     toxicity,
@@ -88,6 +89,21 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.inline("leaks"))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each text without repeated 100-byte strings."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    n_removed = F.aggregate(
+        "spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"]
+    )
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id",
+        (F.octet_length("kept") + n_removed).cast("bigint").alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of each text, base ones counted, all of them listed."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
@@ -124,6 +140,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_store": op4_token_store,
     "op5_token_count": op5_token_count,
     "op6_decontaminate": op6_decontaminate,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_secrets": op8_secrets,
     "op9_near_dup": op9_near_dup,
     "op10_chat": op10_chat,
