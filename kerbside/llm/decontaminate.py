@@ -29,8 +29,8 @@ from kerbside.llm.common import (
     runs,
     whole_text,
 )
-from kerbside.llm.common_words import word_hashes
 from kerbside.llm.shingles import shingles_of
+from kerbside.llm.words import words_of_texts
 
 RADIUS = 11
 BLOCKS, BLOCK_BITS = 4, 16
@@ -112,7 +112,7 @@ class ItemIndex:
 
     def __init__(self, items: tuple[tuple[int, str], ...]):
         self.ids = [item_id for item_id, _ in items]
-        words = [word_hashes(text) for _, text in items]
+        words = words_of_texts([text for _, text in items])
         self.shingles = [shingles_of(w) for w in words]
         holders = Counter(s for own in self.shingles for s in set(own.tolist()))
         rare = np.log1p(len(items))
@@ -156,7 +156,7 @@ class ItemIndex:
     def search(self, texts: list[str]) -> list[dict[int, tuple[float, int, int]]]:
         """Per text: item number -> (similarity, first word, end word)."""
         found: list[dict] = [{} for _ in texts]
-        all_words = [word_hashes(t) for t in texts]
+        all_words = words_of_texts(texts)
         for size, filed in self.short.items():
             keys = np.array(sorted(filed), np.uint64)
             for k, words in enumerate(all_words):

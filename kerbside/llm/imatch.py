@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from kerbside.llm.common import prepare_workers, whole_text
-from kerbside.llm.common_words import document_frequencies, word_hashes
+from kerbside.llm.hashing import mix
+from kerbside.llm.words import document_frequencies, words_of_texts
 
 # The band, as shares of all documents. There are at most 2,000 words per
 # distinct word of an average document with at least the lower share, whatever
@@ -40,22 +41,16 @@ def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.sort(np.asarray(found.column(0).combine_chunks()).astype(np.int64).view(np.uint64))
 
 
-def mix(values: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
-    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return values ^ (values >> np.uint64(33))
-
-
 SEEDS = mix(np.arange(1, REPEATS + 1, dtype=np.uint64) * np.uint64(SEED))
 
 
-def fingerprint(text: str, words: np.ndarray) -> str:
-    """Number of terms, hash of all terms, and 16 bits for each random subset.
+def fingerprint(text: str, hashes: np.ndarray, words: np.ndarray) -> str:
+    """Number of terms, hash of all terms, and 16 bits for each random subset, of
+    a text with these word hashes.
 
     A text without any term gets the hash of the text itself.
     """
-    terms = np.unique(word_hashes(text))
+    terms = np.unique(hashes)
     if len(words):
         at = np.minimum(np.searchsorted(words, terms), len(words) - 1)
         terms = terms[words[at] == terms]
@@ -77,6 +72,10 @@ def fingerprint(text: str, words: np.ndarray) -> str:
     return f"{len(terms)}:{whole}:{body}"
 
 
+def fingerprints_of(texts: list[str], words: np.ndarray) -> list[str]:
+    return [fingerprint(t, h, words) for t, h in zip(texts, words_of_texts(texts))]
+
+
 def likeness(one: str, other: str) -> float:
     """Share of common terms that two fingerprints suggest, 0 to 1.
 
@@ -150,7 +149,7 @@ def in_buckets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         return pa.array(above + inner, pa.int32())
 
     rows = rows.withColumn("bucket", bucket_of("key", "mark"))
-    first = F.struct((-F.col("key") - 1).alias("rest"), F.col("mark"))
+    first = F.struct(F.bitwise_not("key").alias("rest"), F.col("mark"))
     heads = sorted(
         (r.bucket, -r.head.rest - 1, r.head.mark)
         for r in rows.groupBy("bucket").agg(F.min(first).alias("head")).collect()
@@ -199,25 +198,26 @@ def with_next(docs: DataFrame, words: np.ndarray, doc_id: str = "doc_id", text:
     held = spark.sparkContext.broadcast(words)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon_words = held.value
         waiting: tuple | None = None
         for batch in batches:
-            out = []
+            couples = []
             columns = (batch.column(n).to_pylist() for n in ("id", "body", "bucket", "ahead"))
-            for key, body, bucket, ahead in zip(*columns):
+            rows = list(zip(*columns))
+            prints = fingerprints_of([r[1] for r in rows], held.value)
+            for (key, body, _, ahead), own in zip(rows, prints):
                 if waiting is None and ahead:
                     continue  # more rows equal to the first of the next bucket
-                print_ = fingerprint(body, lexicon_words)
                 if waiting is not None:
-                    last, said, last_print = waiting
-                    changed = edited(said, body)
-                    changed_print = fingerprint(changed, lexicon_words)
-                    out.append((
-                        last, len(said), hashlib.sha256(changed.encode()).hexdigest(), last_print,
-                        changed_print, likeness(last_print, changed_print),
-                        likeness(last_print, print_),
-                    ))
-                waiting = None if ahead else (key, body, print_)
+                    couples.append((*waiting, body, own))
+                waiting = None if ahead else (key, body, own)
+            changed = [edited(said, body) for _, said, _, body, _ in couples]
+            changed_prints = fingerprints_of(changed, held.value)
+            out = [
+                (key, len(said), hashlib.sha256(new.encode()).hexdigest(), own, new_print,
+                 likeness(own, new_print), likeness(own, following))
+                for (key, said, own, _, following), new, new_print
+                in zip(couples, changed, changed_prints)
+            ]
             columns = list(zip(*out)) or [[] for _ in FINGERPRINTS_ARROW]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, FINGERPRINTS_ARROW)],
@@ -236,6 +236,6 @@ def fingerprints(
 
     @arrow_udf("string")
     def printed(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, held.value) for t in texts.to_pylist()], pa.string())
+        return pa.array(fingerprints_of(texts.to_pylist(), held.value), pa.string())
 
     return docs.withColumn(out, printed(whole_text(text)))

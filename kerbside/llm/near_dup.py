@@ -43,9 +43,9 @@ from kerbside.llm.common import (
     stored,
     whole_text,
 )
-from kerbside.llm.common_words import document_frequencies, word_hashes
+from kerbside.llm.words import document_frequencies, word_hashes
 from kerbside.llm.components import connected_components
-from kerbside.llm.imatch import mix
+from kerbside.llm.hashing import mix
 from kerbside.llm.shingles import shingles_of
 
 # Two samples a band: at similarity 0.8 a pair misses all bands once in 3,500.

@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from kerbside.llm.common import WORDS_PER_SHINGLE
-from kerbside.llm.common_words import word_hashes
-from kerbside.llm.imatch import mix
+from kerbside.llm.hashing import mix
 
 FACTORS = mix(np.arange(11, 11 + WORDS_PER_SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -17,11 +16,7 @@ def shingles_of(words: np.ndarray, size: int = WORDS_PER_SHINGLE) -> np.ndarray:
     if not size:
         return words[:0]
     stop = len(words) - size + 1
-    total = np.zeros(stop, np.uint64)
-    for k in range(size):
+    total = words[:stop] * FACTORS[0]
+    for k in range(1, size):
         total += words[k : k + stop] * FACTORS[k]
     return mix(total)
-
-
-def shingle_hashes(text: str) -> np.ndarray:
-    return shingles_of(word_hashes(text))

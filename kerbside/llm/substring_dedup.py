@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import prepare_workers, runs, shared_folder, stored
-from kerbside.llm.imatch import mix
+from kerbside.llm.hashing import mix
 
 LENGTH = 100
 GRAM = 20
