@@ -39,11 +39,6 @@ SMOKE_FOLDER = "/root/testdata/sf0.001"
 AS_OF_DAY = "2024-01-15"
 AS_OF_TIME = "2024-01-15 12:00:00"
 ARRIVAL_WINDOW = ("2024-01-10", "2024-01-12")
-ARRIVAL_LOADS = [
-    ("2024-01-01", "2024-01-10"),
-    ("2024-01-11", "2024-01-20"),
-    ("2024-01-21", "2024-01-31"),
-]
 TRIAL_TREES = 10
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +58,7 @@ def query(fn: Query) -> Query:
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return bronze_source.spread_few_files(event_feed.read_table(spark, folder, "events"))
+    return event_feed.read_table(spark, folder, "events")
 
 
 def _bronze(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,6 +131,15 @@ def _rebuilt_silver(spark: SparkSession, folder: str, root: str) -> str:
     return f"{root}/silver"
 
 
+def _arrival_loads(bronze: DataFrame, loads: int = 3) -> list[tuple[str, str]]:
+    """All arrival days of a table, first to last, as some successive loads."""
+    first, last = bronze.agg(F.min("dt"), F.max("dt")).first()
+    days = bronze_source.arrival_days(str(first), str(last))
+    size = -(-len(days) // loads)
+    parts = [days[at : at + size] for at in range(0, len(days), size)]
+    return [(part[0], part[-1]) for part in parts]
+
+
 # --- Bronze ----------------------------------------------------------------------
 
 
@@ -260,7 +264,7 @@ def silver_table(spark, folder):
 def silver_incremental(spark, folder):
     """Silver after loads of successive arrival days, each merged into it."""
     landed, root = _landed_bronze(spark, folder), _work_folder(spark)
-    for start, end in ARRIVAL_LOADS:
+    for start, end in _arrival_loads(bronze_source.read_bronze(spark, landed)):
         silver_plan.add_arrivals(
             spark, landed, f"{root}/silver", f"{root}/quarantine", f"{root}/staging", start, end
         )
@@ -346,7 +350,18 @@ def scd2_merged(spark, folder):
     middle = F.lit(AS_OF_TIME).cast("timestamp")
     first = scd2.build_versions(feed.filter(F.col("observed_ts") < middle), ["status"])
     rest = feed.filter(F.col("observed_ts") >= middle)
-    return scd2.merge_versions(first, rest, ["status"])
+    seen = feed.filter(F.col("observed_ts") < middle)
+    return scd2.merge_versions(first, seen, rest, ["status"])
+
+
+@query
+def scd2_merged_late(spark, folder):
+    """The second half of the feed first, and then, late, the first half."""
+    feed = event_feed.attribute_feed(_events(spark, folder))
+    middle = F.lit(AS_OF_TIME).cast("timestamp")
+    seen = feed.filter(F.col("observed_ts") >= middle)
+    late = feed.filter(F.col("observed_ts") < middle)
+    return scd2.merge_versions(scd2.build_versions(seen, ["status"]), seen, late, ["status"])
 
 
 @query
@@ -590,11 +605,6 @@ def watermark_max(spark, folder):
     return incremental.newest_event(incremental.with_event_time(_bronze(spark, folder)))
 
 
-@query
-def page_cap(spark, folder):
-    return incremental.capped_page(incremental.with_event_time(_bronze(spark, folder)))
-
-
 @query
 def poll_summary(spark, folder):
     """Counters of a poll that lands everything newer than a stored mark."""
@@ -659,23 +669,16 @@ def stream_silver(spark, folder):
 
 @query
 def stream_rolling(spark, folder):
-    """Tumbling sums of a Bronze stream, every window shown (complete mode)."""
+    """Tumbling sums of a Bronze stream, kept up in a table."""
     root, landed = _work_folder(spark), _landed_bronze(spark, folder)
     readings = rolling.typed_stream(
         silver_stream.read_bronze_stream(spark, landed, files_per_trigger=10_000)
     )
-    name = f"rolling_{uuid.uuid4().hex}"
-    (
-        rolling.stream_rolling(readings, slide=None, drop_copies=False)
-        .writeStream.format("memory")
-        .queryName(name)
-        .outputMode("complete")
-        .option("checkpointLocation", f"{root}/c")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.table(name)
+    windows = rolling.stream_rolling(readings, slide=None, drop_copies=False)
+    rolling.stream_rolling_table(
+        windows, f"{root}/windows", f"{root}/staging", f"{root}/c", once=True
+    ).awaitTermination()
+    return spark.read.schema(windows.schema).parquet(f"{root}/windows")
 
 
 @query

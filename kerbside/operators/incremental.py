@@ -28,13 +28,6 @@ def newest_event(readings: DataFrame) -> DataFrame:
     return readings.agg(F.max("event_ts_utc").alias("last_event_ts"))
 
 
-def capped_page(readings: DataFrame, max_records: int = 500) -> DataFrame:
-    """The oldest readings first, at most one poll's worth."""
-    return readings.orderBy(
-        F.col("event_ts_utc").asc_nulls_first(), "location_id", "ingested_at"
-    ).limit(max_records)
-
-
 def current_state(silver: DataFrame, key: str = "location_id") -> DataFrame:
     """Each sensor's latest reading; every task first keeps one row per sensor."""
     fields = [c for c in silver.columns if c not in (key, "event_ts_utc", "ingested_ts_utc")]

@@ -22,7 +22,7 @@ def build_versions(
     attributes: list[str],
     key: str = "location_id",
     ts: str = "observed_ts",
-    chunk: str = "day",
+    chunk: str = "hour",
 ) -> DataFrame:
     """Versions of each key: a new one opens whenever an attribute changes.
 
@@ -76,16 +76,27 @@ def build_versions(
 
 def merge_versions(
     versions: DataFrame,
+    observations: DataFrame,
     feed: DataFrame,
     attributes: list[str],
     key: str = "location_id",
     ts: str = "observed_ts",
-    chunk: str = "day",
+    chunk: str = "hour",
 ) -> DataFrame:
-    """Versions after new feed rows; late rows split the version they fall in."""
-    known = versions.select(key, F.col("valid_from").alias(ts), *attributes)
-    new = feed.select(key, ts, *attributes)
-    return build_versions(known.unionByName(new), attributes, key, ts, chunk)
+    """Versions after new feed rows, in whatever order these arrive.
+
+    Versions alone do not say when their state was seen again, which decides
+    where a late row ends and the earlier state resumes. So the keys that the
+    feed names are built anew from ``observations``, the feed so far, together
+    with the new rows; versions of all other keys stay as they are.
+    """
+    touched = feed.select(key).distinct()
+    columns = [key, ts, *attributes]
+    seen = observations.select(*columns).join(touched, key, "left_semi")
+    rebuilt = build_versions(
+        seen.unionByName(feed.select(*columns)), attributes, key, ts, chunk
+    )
+    return versions.join(touched, key, "left_anti").select(*rebuilt.columns).unionByName(rebuilt)
 
 
 def point_in_time_join(
@@ -93,41 +104,13 @@ def point_in_time_join(
     versions: DataFrame,
     ts: str,
     key: str = "location_id",
-    chunk: str = "day",
-    broadcast_rows: int = 200_000,
-    versions_per_key: int = 16,
+    chunk: str = "hour",
 ) -> DataFrame:
-    """Each reading with the version valid at its time, or with none.
-
-    The dimension is measured first. While it is small and no key has many
-    versions it is broadcast and the interval tested per candidate; otherwise
-    the readings are matched in time order, in which no pairs arise at all.
-    """
-    per_key = versions.groupBy(key).count()
-    total, most = per_key.agg(
-        F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))
-    ).first()
-    if total <= broadcast_rows and most <= versions_per_key:
-        return interval_join(readings, F.broadcast(versions), ts, key)
-    return as_of_join(readings, versions, ts, key, chunk)
-
-
-def interval_join(readings: DataFrame, versions: DataFrame, ts: str, key: str) -> DataFrame:
-    r, v = readings.alias("r"), versions.alias("v")
-    moment = F.col(f"r.{ts}")
-    valid = (
-        (F.col(f"r.{key}") == F.col(f"v.{key}"))
-        & (F.col("v.valid_from") <= moment)
-        & (F.col("v.valid_to").isNull() | (moment < F.col("v.valid_to")))
-    )
-    added = [F.col(f"v.{c}") for c in versions.columns if c != key]
-    return r.join(v, valid, "left").select("r.*", *added)
+    """Each reading with the version of its time, or with none.
 
-
-def as_of_join(
-    readings: DataFrame, versions: DataFrame, ts: str, key: str, chunk: str = "day"
-) -> DataFrame:
-    """The latest version begun by each reading's time, if it has not ended.
+    That is the latest version begun by then, if it has not ended: of versions
+    that overlap the later one counts, and where it ends none does, whatever an
+    earlier one says. A reading keeps its row, once, with any dimension.
 
     Versions and readings are laid on one time line per key; a version comes
     before the readings of its own instant.

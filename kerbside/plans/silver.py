@@ -14,20 +14,20 @@ from kerbside.operators.silver import (
     valid_to_silver,
 )
 from kerbside.schemas import SILVER_COLUMNS, SILVER_SCHEMA
-from kerbside.sources.bronze import read_bronze, spread_few_files
+from kerbside.sources.bronze import read_bronze
 from kerbside.sources.sinks import (
+    QUARANTINE_PARTS,
     exists,
     finish_staged,
+    in_quarantine_layout,
     in_silver_layout,
+    remove,
     staged_overwrite,
+    staged_replace,
     write_quarantine,
-    write_silver,
     write_table,
 )
 
-MAX_LISTED_DATES = 5_000
-
-
 def read_silver(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SILVER_SCHEMA).parquet(path).select(*SILVER_COLUMNS)
 
@@ -35,7 +35,7 @@ def read_silver(spark: SparkSession, path: str) -> DataFrame:
 def observe_quality(typed: DataFrame) -> tuple[DataFrame, Observation]:
     """Counts rows and unusable rows while another job reads the frame."""
     seen = Observation()
-    bad = ~F.coalesce(is_valid(), F.lit(False))
+    bad = ~is_valid()
     observed = typed.observe(
         seen, F.count(F.lit(1)).alias("bronze_rows"), F.count_if(bad).alias("quarantined_rows")
     )
@@ -45,31 +45,33 @@ def observe_quality(typed: DataFrame) -> tuple[DataFrame, Observation]:
 def rebuild_silver(
     spark: SparkSession, bronze_root: str, silver_path: str, quarantine_path: str
 ) -> dict[str, int]:
-    """All of Bronze into Silver and quarantine.
+    """All of Bronze into Silver and quarantine, in place of what they held.
 
     Nothing is cached: the Silver job counts unusable rows in passing, and
-    Bronze is read again only when there are any to write.
+    Bronze is read again only when there are any to write. Both tables are
+    written in full next to the old ones before these are replaced.
     """
-    bronze = spread_few_files(read_bronze(spark, bronze_root))
+    bronze = read_bronze(spark, bronze_root, keep_corrupt=True)
     typed, seen = observe_quality(parse_timestamps(bronze))
     valid, _ = split_valid_and_quarantine(typed)
-    write_silver(valid_to_silver(valid), silver_path)
+    rows = in_silver_layout(valid_to_silver(valid))
+    staged_replace(rows, silver_path, f"{silver_path}.staged", "event_date")
     if seen.get["quarantined_rows"]:
-        write_quarantine(transform(bronze)[1], quarantine_path)
+        bad = in_quarantine_layout(transform(bronze)[1])
+        staged_replace(bad, quarantine_path, f"{quarantine_path}.staged", *QUARANTINE_PARTS)
+    elif exists(spark, quarantine_path):
+        remove(spark, quarantine_path)
     return seen.get
 
 
 def touched_dates(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored rows of the dates that ``new`` has rows for.
 
-    A list of dates prunes partitions at planning time. Should the input name
-    more dates than is sensible to list, they are joined instead.
+    The dates are listed, days of the calendar at most, so that partitions are
+    pruned at planning time.
     """
-    dates = new.select("event_date").distinct()
-    listed = [r[0] for r in dates.limit(MAX_LISTED_DATES + 1).collect()]
-    if len(listed) <= MAX_LISTED_DATES:
-        return stored.filter(F.col("event_date").isin(listed)) if listed else stored.limit(0)
-    return stored.join(dates, "event_date", "left_semi")
+    listed = [r[0] for r in new.select("event_date").distinct().collect()]
+    return stored.filter(F.col("event_date").isin(listed)) if listed else stored.limit(0)
 
 
 def upsert_silver(spark: SparkSession, new_rows: DataFrame, path: str, staging: str) -> None:
@@ -100,7 +102,7 @@ def add_arrivals(
     end: str,
 ) -> dict[str, int]:
     """Whole arrival days into Silver and quarantine; repeating it is harmless."""
-    bronze = spread_few_files(read_bronze(spark, bronze_root, start, end))
+    bronze = read_bronze(spark, bronze_root, start, end, keep_corrupt=True)
     typed, seen = observe_quality(parse_timestamps(bronze))
     valid, _ = split_valid_and_quarantine(typed)
     upsert_silver(spark, valid_to_silver(valid), silver_path, staging)

@@ -30,12 +30,12 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """The folder that cuts lineage: the one the cluster names, if it names one.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that cuts lineage: the one the cluster names.
 
     ``spark.checkpoint.dir`` is shared storage on a cluster and always wins.
     Only a local master, where the driver is the sole machine, falls back to a
-    temporary folder; a cluster without the setting gets none.
+    temporary folder; a cluster without the setting is refused.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         if current is None:
             context.setCheckpointDir(named)
         return named
-    if current is None and context.master.startswith("local"):
+    if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kerbside-checkpoint-"))
     return context.getCheckpointDir()

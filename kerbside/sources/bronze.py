@@ -80,16 +80,6 @@ def on_arrival_day(bronze: DataFrame, as_of: str | date | Column) -> DataFrame:
     return bronze.filter(F.col("dt") == day)
 
 
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Share out the rows of a scan that has fewer splits than there are cores.
-
-    Gzip files cannot be split, so a few large ones would leave most of a
-    cluster idle. Any larger scan is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # --- API pages --------------------------------------------------------------
 
 

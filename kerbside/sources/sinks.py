@@ -74,6 +74,23 @@ def staged_overwrite(df: DataFrame, path: str, staging: str, *partition_columns:
     finish_staged(df.sparkSession, path, staging, *partition_columns)
 
 
+def staged_replace(df: DataFrame, path: str, staging: str, *partition_columns: str) -> None:
+    """Replace a whole partitioned table, partitions without new rows included.
+
+    The rows are complete in ``staging`` before the old table goes; they stay
+    there until the new one is complete.
+    """
+
+    def write(rows: DataFrame, target: str) -> None:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy(*partition_columns).parquet(target)
+
+    write(df, staging)
+    spark = df.sparkSession
+    write(gather(spark.read.schema(df.schema).parquet(staging), *partition_columns), path)
+    remove(spark, staging)
+
+
 def in_silver_layout(silver: DataFrame) -> DataFrame:
     """Rows in date, sensor, minute order, in ranges of equal size.
 
@@ -85,10 +102,6 @@ def in_silver_layout(silver: DataFrame) -> DataFrame:
     return silver.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def write_silver(silver: DataFrame, path: str) -> None:
-    overwrite_partitions(in_silver_layout(silver), path, "event_date")
-
-
 def with_load_id(quarantined: DataFrame, load_id: Column | None = None) -> DataFrame:
     """Name the load a quarantined row came with: its arrival hour by default.
 
@@ -101,10 +114,15 @@ def with_load_id(quarantined: DataFrame, load_id: Column | None = None) -> DataF
     return quarantined.withColumn("load_id", load_id)
 
 
+QUARANTINE_PARTS = ["sensing_date", "load_id"]
+
+
+def in_quarantine_layout(quarantined: DataFrame, load_id: Column | None = None) -> DataFrame:
+    return gather(with_load_id(quarantined, load_id), *QUARANTINE_PARTS)
+
+
 def write_quarantine(quarantined: DataFrame, path: str, load_id: Column | None = None) -> None:
-    columns = ["sensing_date", "load_id"]
-    rows = gather(with_load_id(quarantined, load_id), *columns)
-    overwrite_partitions(rows, path, *columns)
+    overwrite_partitions(in_quarantine_layout(quarantined, load_id), path, *QUARANTINE_PARTS)
 
 
 def write_fact(fact: DataFrame, path: str) -> None:

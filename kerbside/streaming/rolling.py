@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from kerbside.operators.incremental import current_state, rolling_counts
 from kerbside.operators.silver import (
     clean_counts,
+    fill_natural_key,
     parse_and_type,
     select_silver_columns,
     split_valid_and_quarantine,
@@ -18,7 +19,9 @@ from kerbside.sources.sinks import exists, finish_staged, staged_overwrite
 def typed_stream(bronze: DataFrame) -> DataFrame:
     """Valid, cleaned readings of a Bronze stream, copies not yet removed."""
     valid, _ = split_valid_and_quarantine(parse_and_type(bronze))
-    return valid.transform(clean_counts).transform(select_silver_columns)
+    return valid.transform(fill_natural_key).transform(clean_counts).transform(
+        select_silver_columns
+    )
 
 
 def stream_rolling(
@@ -39,6 +42,34 @@ def stream_rolling(
     return rolling_counts(timed, length, slide)
 
 
+def stream_rolling_table(
+    windows: DataFrame, path: str, staging: str, checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Upkeep of a table of windows: a batch replaces those it has changed.
+
+    Windows before the watermark leave the state and stay in the table.
+    """
+    key = ["location_id", "window_start"]
+
+    def merge(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        finish_staged(spark, path, staging)
+        merged = batch
+        if exists(spark, path):
+            stored = spark.read.schema(batch.schema).parquet(path)
+            merged = stored.join(batch.select(*key), key, "left_anti").unionByName(batch)
+        staged_overwrite(merged, path, staging)
+
+    trigger = {"availableNow": True} if once else {"processingTime": "5 minutes"}
+    return (
+        windows.writeStream.outputMode("update")
+        .foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

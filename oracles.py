@@ -107,7 +107,12 @@ STEPS: dict[str, tuple[list[str], str]] = {
             coalesce(direction_1, 0) + coalesce(direction_2, 0) AS total_of_directions,
             dedupe_key, ingested_ts_utc
         FROM valid
-        QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY ingested_ts_utc DESC) = 1
+        QUALIFY row_number() OVER (
+            PARTITION BY dedupe_key
+            ORDER BY ingested_ts_utc DESC NULLS LAST, location_id DESC NULLS LAST,
+                event_ts_utc DESC NULLS LAST, coalesce(direction_1, 0) DESC,
+                coalesce(direction_2, 0) DESC
+        ) = 1
         """,
     ),
     "stg": (
@@ -555,7 +560,12 @@ def all_sql() -> dict[str, str]:
         "dedup_latest": chain(
             f"""
             SELECT {TYPED_COLUMNS} FROM typed
-            QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY ingested_ts_utc DESC) = 1
+            QUALIFY row_number() OVER (
+            PARTITION BY dedupe_key
+            ORDER BY ingested_ts_utc DESC NULLS LAST, location_id DESC NULLS LAST,
+                event_ts_utc DESC NULLS LAST, coalesce(direction_1, 0) DESC,
+                coalesce(direction_2, 0) DESC
+        ) = 1
             """,
             "typed",
         ),
@@ -605,6 +615,7 @@ def all_sql() -> dict[str, str]:
         "gold_published": chain(fact, "fact"),
         "scd2_versions": chain("SELECT * FROM versions", "versions"),
         "scd2_merged": chain("SELECT * FROM versions", "versions"),
+        "scd2_merged_late": chain("SELECT * FROM versions", "versions"),
         "scd2_point_in_time": chain(
             """
             SELECT s.location_id, s.event_ts_utc, s.dedupe_key, s.total_of_directions,
@@ -852,13 +863,6 @@ def all_sql() -> dict[str, str]:
         "watermark_max": chain(
             "SELECT max(event_ts_utc) AS last_event_ts FROM event_times", "event_times"
         ),
-        "page_cap": chain(
-            f"""
-            SELECT {BRONZE_COLUMNS}, event_ts_utc FROM event_times
-            ORDER BY event_ts_utc NULLS FIRST, location_id NULLS FIRST, ingested_at LIMIT 500
-            """,
-            "event_times",
-        ),
         "poll_summary": chain(
             """
             SELECT 'ok' AS status, (SELECT count(*) FROM bronze) AS fetched, n AS new,

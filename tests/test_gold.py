@@ -135,10 +135,20 @@ class TestVersions:
     def test_merging_in_parts_equals_building_at_once(self, spark):
         rows = sorted(random_feed(4, 200), key=lambda r: r[1])
         first = scd2.build_versions(feed_frame(spark, rows[:120]), ["street"])
-        merged = scd2.merge_versions(first, feed_frame(spark, rows[120:]), ["street"])
-        half = [r for r in rows[:120]]
-        known = [(k, ts, s) for k, s, ts, _, _ in expected_versions(half)]
-        assert version_rows(merged) == expected_versions(known + rows[120:])
+        seen, new = feed_frame(spark, rows[:120]), feed_frame(spark, rows[120:])
+        merged = scd2.merge_versions(first, seen, new, ["street"])
+        assert version_rows(merged) == expected_versions(rows)
+
+    def test_late_rows_split_the_version_they_fall_in(self, spark):
+        day = lambda n, state: (1, START + timedelta(days=n), state)
+        rows = [day(1, "A"), day(2, "A"), day(4, "A"), day(5, "A"), day(10, "B")]
+        other = [(2, START + timedelta(days=3), "A")]
+        late = [day(3, "B")]
+        built = scd2.build_versions(feed_frame(spark, rows + other), ["street"])
+        seen = feed_frame(spark, rows + other)
+        merged = scd2.merge_versions(built, seen, feed_frame(spark, late), ["street"])
+        assert version_rows(merged) == expected_versions(rows + other + late)
+        assert merged.filter("location_id = 1").count() == 4
 
 
 class TestPointInTime:
@@ -178,17 +188,24 @@ class TestPointInTime:
 
     @pytest.mark.parametrize("chunk", ["hour", "day", "month"])
     def test_time_line_join(self, spark, frames, chunk):
-        got = scd2.as_of_join(*frames, "at_ts", "location_id", chunk)
+        got = scd2.point_in_time_join(*frames, "at_ts", "location_id", chunk)
         assert sorted((r["n"], r["street"]) for r in got.collect()) == self.expected(*frames)
 
-    @pytest.mark.parametrize("limit", [0, 10_000])
-    def test_either_side_of_the_size_check(self, spark, frames, limit):
-        got = scd2.point_in_time_join(
-            *frames, "at_ts", broadcast_rows=limit, versions_per_key=10_000
+    @pytest.mark.parametrize("more", [0, 40])
+    def test_of_overlapping_versions_the_later_counts(self, spark, more):
+        day = lambda n: START + timedelta(days=n)
+        known = [(1, "a", day(1), day(32)), (1, "b", day(10), day(12))]
+        known += [(1, f"x{n}", day(100 + n), day(101 + n)) for n in range(more)]
+        versions = spark.createDataFrame(
+            known, "location_id int, street string, valid_from timestamp, valid_to timestamp"
         )
-        plan = got._jdf.queryExecution().executedPlan().toString()
-        assert ("BroadcastHashJoin" in plan) == (limit > 0)
-        assert sorted((r["n"], r["street"]) for r in got.collect()) == self.expected(*frames)
+        frame = spark.createDataFrame(
+            [(n, 1, day(n)) for n in (0, 5, 11, 20)], "n int, location_id int, at_ts timestamp"
+        )
+        got = scd2.point_in_time_join(frame, versions, "at_ts")
+        assert sorted((r["n"], r["street"]) for r in got.collect()) == [
+            (0, None), (5, "a"), (11, "b"), (20, None)
+        ]
 
 
 class TestQuality:

@@ -116,14 +116,37 @@ class TestSilverJobs:
         want = silver.transform(read_bronze(spark, paths["bronze"]))[0]
         assert content(silver_plan.read_silver(spark, paths["silver"])) == content(want)
 
-    def test_many_dates_are_joined_instead_of_listed(self, spark, paths, monkeypatch):
+    def test_only_touched_dates_are_read(self, spark, paths):
         rebuild(spark, paths)
         stored = silver_plan.read_silver(spark, paths["silver"])
         new = stored.filter("event_date < '2026-03-13'")
-        listed = content(silver_plan.touched_dates(stored, new))
-        monkeypatch.setattr(silver_plan, "MAX_LISTED_DATES", 1)
-        assert content(silver_plan.touched_dates(stored, new)) == listed
-        assert len(listed) == 4
+        assert silver_plan.touched_dates(stored, new).count() == 4
+        assert silver_plan.touched_dates(stored, new.limit(0)).count() == 0
+
+    def test_a_rebuild_replaces_what_was_there(self, spark, paths, tmp_path):
+        rebuild(spark, paths)
+        land(tmp_path / "less", "2026-03-11", "02", [at(11)])
+        silver_plan.rebuild_silver(
+            spark, str(tmp_path / "less"), paths["silver"], paths["quarantine"]
+        )
+        assert silver_plan.read_silver(spark, paths["silver"]).count() == 1
+        assert not sinks.exists(spark, paths["quarantine"])
+
+    def test_rows_without_key_are_the_same_by_every_road(self, spark, paths, tmp_path):
+        root = tmp_path / "keyless"
+        for day in (11, 12, 13):
+            rows = [at(day, dedupe_key=None), at(day, location_id=9)]
+            land(root, f"2026-03-{day}", "02", rows)
+        more = (str(tmp_path / "a"), str(tmp_path / "b"))
+        silver_plan.rebuild_silver(spark, str(root), *more)
+        rebuilt = content(silver_plan.read_silver(spark, more[0]))
+        for day in (12, 11, 13):
+            silver_plan.add_arrivals(
+                spark, str(root), paths["silver"], paths["quarantine"], paths["staging"],
+                f"2026-03-{day}", f"2026-03-{day}",
+            )
+        assert content(silver_plan.read_silver(spark, paths["silver"])) == rebuilt
+        assert len(rebuilt) == 6
 
     def test_gold_is_published_and_guarded(self, spark, paths, tmp_path):
         rebuild(spark, paths)
@@ -208,6 +231,20 @@ class TestStreams:
         got = {r["window_start"].hour: r["minutes_reported"] for r in spark.table("closed").collect()}
         assert got == {2: 1, 3: 1}
 
+    def test_windows_are_kept_up_in_a_table(self, spark, paths, tmp_path):
+        land(paths["root"], "2026-03-11", "02", [at(11), at(11, 3)])
+        land(paths["root"], "2026-03-11", "03", [at(11, location_id=9), at(11, 3, location_id=9)])
+        readings = rolling.typed_stream(
+            silver_stream.read_bronze_stream(spark, paths["bronze"], files_per_trigger=1)
+        )
+        windows = rolling.stream_rolling(readings, delay="3 hours", slide=None)
+        where = str(tmp_path / "windows")
+        rolling.stream_rolling_table(
+            windows, where, paths["staging"], paths["checkpoint"], once=True
+        ).awaitTermination()
+        got = [(r.location_id, r.window_start.hour) for r in spark.read.parquet(where).collect()]
+        assert sorted(got) == [(7, 2), (7, 3), (9, 2), (9, 3)]
+
     def test_state_follows_the_newest_reading(self, spark, paths, tmp_path):
         land(paths["root"], "2026-03-11", "02", [at(11, 5, location_id=1), at(11, 2, location_id=2)])
         land(paths["root"], "2026-03-11", "03", [at(11, 4, location_id=1), at(11, 6, location_id=2)])

@@ -147,11 +147,6 @@ class TestIncrements:
         assert [r["sensing_datetime"][11:13] for r in got] == ["03"]
         assert incremental.filter_new(timed, incremental.EPOCH).count() == 3
 
-    def test_page_takes_the_oldest(self, bronze):
-        rows = bronze(*[reading(sensing_datetime=f"2026-03-11T0{h}:00:00+00:00") for h in (3, 1, 2)])
-        got = incremental.capped_page(incremental.with_event_time(rows), 2).collect()
-        assert sorted(r["sensing_datetime"][12] for r in got) == ["1", "2"]
-
     def test_state_and_rolling_sums(self, bronze):
         rows = [
             reading(location_id=1, sensing_datetime=f"2026-03-11T02:{m:02d}:00+00:00", direction_1=m)
