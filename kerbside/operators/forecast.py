@@ -14,6 +14,7 @@ from kerbside.functions.columns import at_least
 from kerbside.schemas import TARGET_COLUMN, feature_columns
 from kerbside.session import ensure_checkpoint_dir
 
+# Fixed value: the share of rows to train on.
 TRAIN_FRACTION = 0.8
 KEY_PREFIX = 4
 

@@ -48,14 +48,14 @@ def land_new(
     spark: SparkSession,
     readings: DataFrame,
     mark_path: str,
-    sink: Callable[[DataFrame], None],
+    sink: Callable[[DataFrame], int | None],
     ingested_at: datetime | None = None,
 ) -> dict[str, object]:
     """Write readings newer than the mark through ``sink``; returns the counters.
 
-    Rows are counted while the sink's own job runs. The mark advances only
-    after the sink has returned: when it fails, the next run offers the same
-    readings again.
+    Rows are counted while the sink's own job runs. A sink may return how many
+    of them it has refused. The mark advances only after the sink has returned
+    and taken them all: otherwise the next run offers the same readings again.
     """
     started = ingested_at or datetime.now(timezone.utc).replace(tzinfo=None)
     seen, new = Observation(), Observation()
@@ -63,14 +63,14 @@ def land_new(
     fresh = filter_new(offered, read_mark(spark, mark_path)).observe(
         new, F.count(F.lit(1)).alias("new"), F.max("event_ts_utc").alias("newest")
     )
-    sink(to_records(fresh, F.lit(started)))
-    fetched, emitted, newest = seen.get["fetched"], new.get["new"], new.get["newest"]
-    if newest is not None:
-        write_mark(spark, mark_path, newest, emitted)
+    failed = sink(to_records(fresh, F.lit(started))) or 0
+    offered_new, newest = new.get["new"], new.get["newest"]
+    if newest is not None and not failed:
+        write_mark(spark, mark_path, newest, offered_new)
     return {
-        "status": "ok" if emitted else "no_new_data",
-        "fetched": fetched,
-        "new": emitted,
-        "emitted": emitted,
-        "failed": 0,
+        "status": "partial_failure" if failed else "ok" if offered_new else "no_new_data",
+        "fetched": seen.get["fetched"],
+        "new": offered_new,
+        "emitted": offered_new - failed,
+        "failed": failed,
     }

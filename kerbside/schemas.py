@@ -70,6 +70,7 @@ PAGE_SCHEMA = T.StructType(
     [T.StructField("results", T.ArrayType(T.MapType(T.StringType(), T.StringType())))]
 )
 
+# The lags and windows the features are named after.
 LAG_HOURS = [1, 2, 3, 24]
 ROLLING_WINDOWS = [3, 6]
 TARGET_COLUMN = "target_next_hour"

@@ -135,6 +135,20 @@ class TestMark:
         assert (second["status"], second["emitted"]) == ("no_new_data", 0)
         assert source.read_readings(spark, out).count() == 1
 
+    def test_refused_readings_are_counted_and_offered_again(self, spark, bronze, tmp_path):
+        out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+        rows = bronze(reading(location_id=1), reading(location_id=2), reading(location_id=3))
+
+        def sink(df):
+            df.filter("location_id < 3").write.mode("append").json(out)
+            return df.count() - source.read_readings(spark, out).count()
+
+        got = poll.land_new(spark, rows, mark, sink)
+        assert got == {
+            "status": "partial_failure", "fetched": 3, "new": 3, "emitted": 2, "failed": 1
+        }
+        assert poll.read_mark(spark, mark) == poll.EPOCH
+
     def test_mark_stays_when_the_sink_fails(self, spark, bronze, tmp_path):
         def sink(df):
             raise OSError("storage is away")
