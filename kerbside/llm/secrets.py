@@ -242,3 +242,26 @@ def spans_text(secrets: str | Column, kinds: list[str] | None = None) -> Column:
 
 def count_kind(secrets: str, kind: str) -> Column:
     return F.size(F.filter(secrets, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+def redact(df: DataFrame, text: str = "text") -> DataFrame:
+    """Texts with every secret replaced by its kind in angle brackets; spans that
+    overlap are replaced as one, by the kind of the first. A NULL text stays."""
+    prepare_workers(df.sparkSession)
+
+    @arrow_udf("string")
+    def redacted(texts: pa.Array) -> pa.Array:
+        values = texts.to_pylist()
+        wide = long_runs([t or "" for t in values], HEX_LENGTH).tolist() if values else []
+        return pa.array([t and _without(t, scan(t, w)) for t, w in zip(values, wide)], pa.string())
+
+    return df.withColumn(text, redacted(F.col(text)))
+
+
+def _without(text: str, spans: list[tuple[int, int, str]]) -> str:
+    parts, at = [], 0
+    for start, end, kind in spans:
+        if start >= at:
+            parts.append(f"{text[at:start]}<{kind}>")
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
