@@ -27,38 +27,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import prepare_workers, runs, shared_folder, stored
-from kerbside.llm.hashing import mix
+from kerbside.llm.hashing import BASE, mix, prefix_sums, run_hashes
 
 LENGTH = 100
 GRAM = 20
 SPAN = LENGTH - GRAM + 1  # q-grams of a string
-PIECE = 4_000_000  # bytes hashed at once
+PIECE = 1_000_000  # bytes hashed at once
 PLACE = np.uint64((1 << 24) - 1)
-SETTLE = 1_500_000  # runs a task compares among themselves before it sends them
-REFINE = 6_000_000  # bytes refined at once
-LARGE = 2_000  # contents of a bucket above which its strings are spread
+SETTLE = 600_000  # runs a task compares among themselves before it sends them
+REFINE = 2_000_000  # bytes refined at once
+LARGE_SHARE = 1 / 2_000  # of all runs to refine: strings of larger buckets are spread
 LAST_ID = 2**63 - 1
 
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
-BASE = int(mix(np.array([977], np.uint64))[0]) | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, np.uint64(base))
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    known = POWERS.get(base)
-    if known is None or len(known) < n:
-        known = POWERS[base] = _powers(base, max(n, 1 << 16))
-    return known[:n]
-
 
 def _grams(codes: np.ndarray) -> np.ndarray:
     """Polynomial hashes of all q-grams, from those of half the length."""
@@ -97,8 +78,7 @@ def runs_in(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray):
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     low, high = starts[first], starts[last]
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * powers(BASE, len(codes)))])
-    content = (sums[high + LENGTH] - sums[low]) * powers(INVERSE, len(codes))[low]
+    content = run_hashes(prefix_sums(codes), low, high + LENGTH)
     content = mix(content ^ (high - low).astype(np.uint64))
     return document[first], low, high, anchor[first], grams[anchor[first]], content
 
@@ -273,6 +253,8 @@ def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = (batch.column(n).to_pylist() for n in ("gram", "doc", "at", "body"))
         for row in zip(*columns):
+            if waiting and row[:3] == waiting[-1][:3]:
+                continue  # the same run of a row that is there twice
             if size >= REFINE and row[0] != waiting[-1][0]:
                 yield _repeats(waiting)
                 waiting, size = [], 0
@@ -328,13 +310,18 @@ def spread_strings(contexts: DataFrame) -> DataFrame:
     rows = contexts.select("doc", "at", "body").mapInArrow(
         strings, "string binary, doc bigint, at bigint, k int"
     )
-    place = F.struct("doc", "at", "k")
-    firsts = rows.groupBy("string").agg(F.min(place).alias("head"), F.count("*").alias("n"))
-    others = rows.join(firsts.filter("n > 1").select("string", "head"), "string").filter(
-        place != F.col("head")
-    )
-    return others.groupBy("doc", "at").agg(
-        F.min("k").alias("first"), (F.max("k") + LENGTH).cast("int").alias("stop")
+    firsts = rows.groupBy("string").agg(F.min(F.struct("doc", "at", "k")).alias("head"))
+    # No run has more strings than its anchor has places in one.
+    fresh = firsts.select("head.*").groupBy("doc", "at").agg(F.collect_list("k").alias("fresh"))
+    every = F.sequence(F.lit(0), F.octet_length("body") - F.lit(LENGTH))
+    again = F.array_except("every", F.coalesce("fresh", F.array().cast("array<int>")))
+    return (
+        contexts.select("doc", "at", every.alias("every"))
+        .join(fresh, ["doc", "at"], "left")
+        .withColumn("again", again)
+        .filter(F.size("again") > 0)
+        .select("doc", "at", F.array_min("again").alias("first"),
+                (F.array_max("again") + LENGTH).cast("int").alias("stop"))
     )
 
 
@@ -394,12 +381,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     folder = shared_folder(spark)
     rows = keyed(docs, doc_id, text)
     found = rows.mapInArrow(find_runs, RUNS)
-    # Per bucket at most one row of each content and task.
-    in_bucket, of_content = Window.partitionBy("gram"), Window.partitionBy("gram", "content")
+    # Per bucket at most one row of each content and task; what a task has settled
+    # is past judging, and is dealt out by place.
+    dealt = F.when(F.col("repeat"), F.xxhash64("doc", "at")).otherwise(F.col("gram"))
+    sent = found.withColumn("deal", dealt).repartition("repeat", "deal")
+    in_bucket = Window.partitionBy("repeat", "deal")
+    of_content = Window.partitionBy("repeat", "deal", "content")
     here = F.struct("doc", "at")
-    sent = found.repartition("gram")
     judged = stored(
-        sent.withColumn("head", F.min(F.when(~F.col("repeat"), here)).over(of_content))
+        sent.withColumn("head", F.min(here).over(of_content))
         .withColumn("least", F.min("content").over(in_bucket))
         .withColumn("most", F.max("content").over(in_bucket))
         .withColumn("n", F.count("*").over(in_bucket))
@@ -415,14 +405,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     contexts = stored(
         packed(rows).join(asked, ["doc", "mark"]).mapInArrow(fetch, CONTEXT), folder, "contexts"
     )
+    large = F.col("n") > LARGE_SHARE * judged.filter("NOT again").count()
     small = (
-        contexts.filter(F.col("n") <= LARGE)
+        contexts.filter(~large)
         .repartition("gram")
         .sortWithinPartitions("gram", "doc", "at")
         .select("gram", "doc", "at", "body")
         .mapInArrow(refine, SPANS)
     )
-    parts = small.unionByName(spread_strings(contexts.filter(F.col("n") > LARGE)))
+    parts = small.unionByName(spread_strings(contexts.filter(large)))
     covered = per_document(whole.unionByName(parts), "first", "stop")
     result = packed(rows).join(covered, ["doc", "mark"], "left").mapInArrow(cut, RESULT)
     return result.select(
