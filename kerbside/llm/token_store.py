@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from kerbside.llm.common import PieceMemo, prepare_workers, whole_text
 
 FRAME_TOKENS = 1 << 20
+MEMO_WORDS = 700_000
 # Fixed values of the public seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -64,18 +66,18 @@ class WordTokenizer:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.wide = max(vocab.values()) >= 1 << 16
-        self.memo = PieceMemo(self._encode_words)
+        self.memo = PieceMemo(self._encode_words, MEMO_WORDS)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         batch = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in batch]
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of ASCII letters are one piece each and end where an id ends a
+        """Words of letters alone are one piece each and end where an id ends a
         word; others are set apart by a special token."""
         plain, other, alone = [], [], []
         for i, word in enumerate(words):
-            if word.isascii() and word.isalpha():
+            if word.isalpha() and (word.isascii() or self._stays_letters(word)):
                 plain.append(i)
             elif any(s in word for s in self.special):
                 alone.append(i)
@@ -107,6 +109,11 @@ class WordTokenizer:
             out[shift + np.arange(len(ids))] = ids
         return out, counts
 
+    @staticmethod
+    def _stays_letters(word: str) -> bool:
+        """Is the word still letters alone once it is normalized?"""
+        return unicodedata.normalize("NFC", word).lower().isalpha()
+
     @staticmethod
     def words(text: str) -> list[str]:
         if ODD_SEPARATORS.search(text):
