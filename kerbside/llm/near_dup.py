@@ -7,23 +7,13 @@ their weighted Jaccard similarity. Two samples make a band; texts that share a
 band are candidates, and exact weighted Jaccard similarity decides.
 
 Exact copies are one node. Nodes that share a band form a bucket, and buckets of
-any size are resolved without comparing all pairs:
-
-* a small bucket is compared pair by pair;
-* in a larger one every node is compared with one pivot. What can still be
-  similar among the nodes that are not similar to the pivot has to share certain
-  shingles, which become the keys of smaller buckets, resolved in the same way.
-
-Which shingles (D is the distance 1 - similarity to the pivot, ``limit`` the
-greatest distance of a link): if neither of two texts shares a difference from
-the pivot with the other (a shingle it has more of, or one it lacks), the
-distance between them is no less than either one's from the pivot. So a text
-with D > limit links only with texts it shares a difference with. And texts
-further from the pivot than twice the limit link only with others further than
-the limit, hence by the prefix filter (in an order that puts the pivot's
-shingles last) share one of the first shingles, up to a weight of ``limit``
-times their own. No link is lost, and none is looked for among texts that are
-already joined through the pivot.
+any size are resolved without comparing all pairs. A small bucket is compared
+pair by pair. In a larger one every node is compared with one pivot, the node
+that is in most of the crowd's buckets; and its nodes are put into narrower
+buckets, by that band and any other together, which are resolved in the same
+way, until all bands are used. So what differs from the crowd in the same way
+still meets apart from the crowd, and nothing is looked for in vain among the
+thousands that are joined through the pivot anyway.
 """
 
 from __future__ import annotations
@@ -43,10 +33,10 @@ from kerbside.llm.common import (
     stored,
     whole_text,
 )
-from kerbside.llm.words import document_frequencies, word_hashes
 from kerbside.llm.components import connected_components
 from kerbside.llm.hashing import mix
 from kerbside.llm.shingles import shingles_of
+from kerbside.llm.words import document_frequencies, words_of_texts
 
 # Two samples a band: at similarity 0.8 a pair misses all bands once in 3,500.
 BANDS, ROWS_PER_BAND = 8, 2
@@ -55,9 +45,9 @@ SAMPLES = BANDS * ROWS_PER_BAND
 # most this many words per distinct word of an average document are tabulated,
 # however large the corpus is.
 RAREST = 2_000
-PAIRWISE = 8  # nodes of a bucket that is compared pair by pair
+PAIRWISE = 16  # nodes of a bucket that is compared pair by pair
 PAIRS_PER_TASK = 500  # nodes compared with one copy of a pivot
-SLICE = 8_192
+SLICE = 2_048
 
 
 class WordWeights:
@@ -84,9 +74,8 @@ def word_weights(docs: DataFrame, text: str = "text") -> WordWeights:
     return WordWeights(words[order], weights, float(np.float32(np.log1p(RAREST))))
 
 
-def weighted_shingles(text: str, idf: WordWeights) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a text, ascending, and their TF-IDF weights."""
-    words = word_hashes(text)
+def weighted_shingles(words: np.ndarray, idf: WordWeights) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a text's words, ascending, with TF-IDF weights."""
     shingles = shingles_of(words)
     if not len(shingles):
         return shingles, np.zeros(0, np.float32)
@@ -98,36 +87,52 @@ def weighted_shingles(text: str, idf: WordWeights) -> tuple[np.ndarray, np.ndarr
     return distinct, np.round(counts * means[first], 3).astype(np.float32)
 
 
-SEEDS = [mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) + np.uint64(k * 1000)) for k in (1, 2, 3)]
-HALF = np.uint64(32)
-LOW = np.uint64(0xFFFFFFFF)
+def shingles_of_texts(texts: list[str], idf: WordWeights) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [weighted_shingles(words, idf) for words in words_of_texts(texts)]
 
 
-def _uniform(bits: np.ndarray) -> np.ndarray:
-    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
+class Variates:
+    """Tables of the gamma variates r and c and the uniform b. A shingle's three
+    places for a draw are parts of one product with the draw's odd factor."""
+
+    SIZE = 1 << 16
+
+    def __init__(self):
+        random = np.random.default_rng(20_240_612)
+        self.r = random.gamma(2.0, 1.0, self.SIZE).astype(np.float32)
+        self.log_c = np.log(random.gamma(2.0, 1.0, self.SIZE)).astype(np.float32)
+        self.b = random.random(self.SIZE, dtype=np.float32)
+        self.factors = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(977))
+        self.factors |= np.uint64(1)
+
+
+VARIATES: list[Variates] = []
+LOW = np.uint64(0xFFFF)
 
 
 def samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Consistent weighted samples: for each of ``SAMPLES`` draws, a hash of the
     drawn shingle and its level.
 
-    With gamma variates r and c and a uniform b of each shingle and draw, its
-    level is t = floor(ln w / r + b), and the shingle of least
-    ln c - r (t - b + 1) is drawn.
+    With the variates of each shingle and draw, its level is
+    t = floor(ln w / r + b), and the shingle of least ln c - r (t - b + 1) is
+    drawn.
     """
+    if not VARIATES:
+        VARIATES.append(Variates())
+    tables = VARIATES[0]
+    logs = np.log(weights)
     best = np.full(SAMPLES, np.inf, np.float32)
     drawn = np.zeros(SAMPLES, np.uint64)
-    logs = np.log(weights)
+    column = np.arange(SAMPLES)
     for at in range(0, len(shingles), SLICE):
         part = shingles[at : at + SLICE]
-        one, two, three = (mix(part[:, None] ^ seed) for seed in SEEDS)
-        r = -np.log(_uniform(one >> HALF) * _uniform(one & LOW))
-        c = -np.log(_uniform(two >> HALF) * _uniform(two & LOW))
-        b = _uniform(three >> HALF)
+        bits = part[:, None] * tables.factors
+        r = tables.r[(bits >> np.uint64(48)).astype(np.intp)]
+        b = tables.b[((bits >> np.uint64(16)) & LOW).astype(np.intp)]
         t = np.floor(logs[at : at + SLICE, None] / r + b)
-        cost = np.log(c) - r * (t - b + 1)
+        cost = tables.log_c[((bits >> np.uint64(32)) & LOW).astype(np.intp)] - r * (t - b + 1)
         least = cost.argmin(axis=0)
-        column = np.arange(SAMPLES)
         lower = cost[least, column] < best
         best = np.where(lower, cost[least, column], best)
         level = t[least, column].astype(np.int64).view(np.uint64)
@@ -146,33 +151,12 @@ def bands(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def similarity(one, other) -> tuple[float, np.ndarray, np.ndarray]:
-    """Weighted Jaccard similarity, and the shared shingles' places in both."""
+def similarity(one, other) -> float:
+    """Weighted Jaccard similarity of two sets of weighted shingles."""
     _, left, right = np.intersect1d(one[0], other[0], assume_unique=True, return_indices=True)
     least = float(np.minimum(one[1][left], other[1][right]).sum(dtype=np.float64))
     total = float(one[1].sum(dtype=np.float64) + other[1].sum(dtype=np.float64))
-    return (least / (total - least) if total > least else 1.0), left, right
-
-
-def sub_keys(pivot, node, alike: float, left, right, limit: float) -> np.ndarray:
-    """The shingles, as keys, that a node has to share one of with any node it
-    may link with in the same bucket, other than through the pivot."""
-    differs = np.ones(len(node[0]), bool)  # shingles the node has more of
-    differs[right] = node[1][right] > pivot[1][left]
-    lacks = np.ones(len(pivot[0]), bool)
-    lacks[left] = node[1][right] < pivot[1][left]
-    parts = []
-    if 1 - alike <= 2 * limit:
-        parts = [mix(node[0][differs]), mix(pivot[0][lacks] ^ np.uint64(0x5BD1E995))]
-    if 1 - alike > limit:
-        # The first shingles: those the pivot has not, then those it has, by hash.
-        known = np.zeros(len(node[0]), bool)
-        known[right] = True
-        order = np.lexsort((node[0], known))
-        weight = np.cumsum(node[1][order], dtype=np.float64)
-        n = int(np.searchsorted(weight, limit * weight[-1] * (1 + 1e-6), side="right")) + 1
-        parts.append(mix(node[0][order[:n]]))
-    return np.unique(np.concatenate(parts)).view(np.int64)
+    return least / (total - least) if total > least else 1.0
 
 
 def pack(shingles: np.ndarray, weights: np.ndarray) -> bytes:
@@ -195,8 +179,8 @@ def signatures(docs: DataFrame, idf: WordWeights, text: str) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [bands(*weighted_shingles(t, held.value)) for t in
-                    batch.column("body").to_pylist()]
+            sets = shingles_of_texts(batch.column("body").to_pylist(), held.value)
+            keys = [bands(*one) for one in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array(keys, pa.list_(pa.int64()))],
                 names=["node", "bands"],
@@ -215,8 +199,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, idf: WordWeights, text: str)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [pack(*weighted_shingles(t, held.value)) for t in
-                    batch.column("body").to_pylist()]
+            texts = batch.column("body").to_pylist()
+            sets = [pack(*one) for one in shingles_of_texts(texts, held.value)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"]
             )
@@ -225,18 +209,46 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, idf: WordWeights, text: str)
     return wanted.mapInArrow(gather, "node binary, shingles binary")
 
 
-def bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b, bucket): all of a small bucket, without a bucket id; pivot
-    and node of a larger one."""
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = buckets.join(sizes, "bucket")
+def buckets_by_width(signed: DataFrame, folder: str) -> DataFrame:
+    """(bucket, node, n) of texts that share bands; n is the bucket's size.
+
+    Buckets of one band first; those of more than ``PAIRWISE`` texts are taken
+    apart by one more band at a time. The set of bands and their keys make a
+    bucket, in whatever order they were added.
+    """
+    keys = signed.select("node", F.posexplode("bands").alias("band", "key")).select(
+        "node", F.expr("shiftleft(1, band)").alias("bit"), F.xxhash64("key").alias("part")
+    )
+    level = keys.select("node", F.col("bit").alias("mask"), F.col("part").alias("key"))
+    found = None
+    for width in range(1, BANDS + 1):
+        sizes = level.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        sized = stored(level.join(sizes, ["mask", "key"]), folder, f"buckets-{width}")
+        buckets = sized.select(F.xxhash64("mask", "key").alias("bucket"), "node", "n")
+        found = buckets if found is None else found.unionByName(buckets)
+        crowded = sized.filter(F.col("n") > PAIRWISE)
+        if crowded.isEmpty():
+            break
+        level = (
+            crowded.join(keys, "node")
+            .filter(F.col("mask").bitwiseAND(F.col("bit")) == 0)
+            .select(
+                "node",
+                F.col("mask").bitwiseOR(F.col("bit")).alias("mask"),
+                F.col("key").bitwiseXOR(F.col("part")).alias("key"),
+            )
+            .distinct()
+        )
+    return found
+
+
+def bucket_pairs(sized: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): all of a small bucket, pivot and node of a larger."""
     small = sized.filter(F.col("n") <= PAIRWISE).groupBy("bucket").agg(
         F.array_sort(F.collect_set("node")).alias("nodes")
     )
-    pairs = (
-        small.select("nodes", F.posexplode("nodes").alias("i", "a"))
-        .select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(PAIRWISE))).alias("b"))
-        .select("a", "b", F.lit(None).cast("bigint").alias("bucket"))
+    pairs = small.select("nodes", F.posexplode("nodes").alias("i", "a")).select(
+        "a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(PAIRWISE))).alias("b")
     )
     large = sized.filter(F.col("n") > PAIRWISE)
     # The node that most of the crowd is like is in most of the large buckets.
@@ -244,22 +256,21 @@ def bucket_pairs(buckets: DataFrame) -> DataFrame:
     pivots = (
         large.join(crowd, "node")
         .groupBy("bucket")
-        .agg(F.max(F.struct("crowd", "node"))["node"].alias("a"))
+        .agg(F.max(F.struct("crowd", "node"))["node"].alias("pivot"))
     )
     stars = (
         large.join(pivots, "bucket")
-        .filter(F.col("a") != F.col("node"))
-        .select("a", F.col("node").alias("b"), "bucket")
+        .filter(F.col("pivot") != F.col("node"))
+        .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     )
-    return pairs.unionByName(stars)
+    return pairs.unionByName(stars).distinct()
 
 
-COMPARED = "a binary, b binary, similarity double, keys array<bigint>"
+COMPARED = "a binary, b binary, similarity double"
 
 
-def compare(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
-    """Exact similarity of pairs (a, b, starred), and for starred ones the keys
-    of the buckets to look into next.
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Exact similarity of pairs (a, b).
 
     The sets of b travel to a's; a's are sent once for every
     ``PAIRS_PER_TASK`` partners, and partners pass by one at a time.
@@ -267,35 +278,31 @@ def compare(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("parts"))
     spread = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     partners = spread.join(sets.withColumnRenamed("node", "b"), "b").select(
-        "a", "part", "b", "starred", "shingles"
+        "a", "part", "b", "shingles"
     )
     own = (
         counts.join(sets.withColumnRenamed("node", "a"), "a")
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        .select("a", "part", F.lit(None).cast("binary").alias("b"),
-                F.lit(False).alias("starred"), "shingles")
+        .select("a", "part", F.lit(None).cast("binary").alias("b"), "shingles")
     )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivot = None, None
         for batch in batches:
             out = []
-            columns = (batch.column(n).to_pylist() for n in ("a", "b", "starred", "shingles"))
-            for a, b, starred, data in zip(*columns):
+            columns = (batch.column(n).to_pylist() for n in ("a", "b", "shingles"))
+            for a, b, data in zip(*columns):
                 if b is None:
                     key, pivot = a, unpack(data)
                     continue
                 if a != key:
                     raise ValueError("a pair came without its first set")
-                node = unpack(data)
-                alike, left, right = similarity(pivot, node)
-                keys = sub_keys(pivot, node, alike, left, right, limit) if starred else []
-                out.append((a, b, alike, keys))
-            columns = list(zip(*out)) or [[], [], [], []]
+                out.append((a, b, similarity(pivot, unpack(data))))
+            columns = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()),
-                 pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.list_(pa.int64()))],
-                names=["a", "b", "similarity", "keys"],
+                [pa.array(c, t) for c, t in
+                 zip(columns, (pa.binary(), pa.binary(), pa.float64()))],
+                names=["a", "b", "similarity"],
             )
 
     return (
@@ -309,65 +316,40 @@ def compare(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
 def similar_pairs(
     docs: DataFrame, idf: WordWeights, folder: str, text: str, threshold: float
 ) -> DataFrame:
-    """Links (a, b) between nodes: enough of them that nodes joined by any chain
-    of links of at least ``threshold`` are joined by these."""
-    limit = 1 - threshold
+    """Links (a, b) between candidates of at least the given similarity."""
     signed = stored(signatures(docs, idf, text), folder, "signatures")
-    buckets = signed.select("node", F.explode("bands").alias("bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = stored(buckets.join(crowded.select("bucket"), "bucket"), folder, "buckets-0")
-    nodes = buckets.select("node").distinct()
+    pairs = stored(bucket_pairs(buckets_by_width(signed, folder)), folder, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stored(shingle_sets(docs, nodes, idf, text), folder, "sets")
+    measured = stored(compare(pairs, sets), folder, "measured")
+    return measured.filter(F.col("similarity") >= threshold).select("a", "b")
 
-    links, level, done = [], 0, None
-    while True:
-        pairs = stored(bucket_pairs(buckets), folder, f"pairs-{level}")
-        ordered = pairs.select(
-            F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "b", "bucket"
-        )
-        # A pair met in several buckets is compared once, from one side.
-        asked = ordered.groupBy("low", "high").agg(
-            F.max(F.col("bucket").isNotNull()).alias("starred"),
-            F.max(F.struct(F.col("bucket").isNotNull().alias("s"), "a", "b")).alias("side"),
-        ).select("low", "high", "side.a", "side.b", "starred")
-        if done is not None:
-            known = done.select("low", "high").withColumn("known", F.lit(True))
-            asked = asked.join(known, ["low", "high"], "left").filter(
-                F.col("known").isNull() | F.col("starred")
-            )
-        measured = stored(
-            compare(asked.select("a", "b", "starred"), sets, limit), folder, f"measured-{level}"
-        )
-        links.append(measured.filter(F.col("similarity") >= threshold).select("a", "b"))
-        seen = measured.select(
-            F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
-        )
-        done = seen if done is None else done.unionByName(seen)
-        # Keys of the nodes of each starred bucket, seen from its own pivot. Only
-        # keys that some node not linked with the pivot has are of interest.
-        stars = pairs.filter(F.col("bucket").isNotNull()).join(
-            measured.select("a", "b", "similarity", "keys"), ["a", "b"]
-        )
-        inner = stars.select(
-            F.col("b").alias("node"),
-            F.explode("keys").alias("key"),
-            "bucket",
-            (F.col("similarity") < threshold).alias("open"),
-        ).withColumn("bucket", F.xxhash64("bucket", "key"))
-        alive = inner.groupBy("bucket").agg(
-            F.count("*").alias("n"), F.max("open").alias("any_open")
-        ).filter("n > 1 AND any_open").select("bucket")
-        level += 1
-        buckets = stored(
-            inner.select("bucket", "node").distinct().join(alive, "bucket"),
-            folder, f"buckets-{level}",
-        )
-        if buckets.isEmpty():
-            break
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    return every
+
+def classes_of(docs: DataFrame, folder: str, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """(node, least, class_id) of every distinct text: its rows' least id, and
+    that of its class."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    prepare_workers(docs.sparkSession)
+    idf = word_weights(rows)
+    links = similar_pairs(rows, idf, folder, "text", threshold)
+    labels = connected_components(links, folder)
+    ids = with_node(rows, "text").groupBy("node").agg(F.min("doc_id").alias("least"))
+    joined = stored(
+        ids.join(labels, "node", "left").select(
+            "node", "least", F.coalesce("label", "node").alias("label")
+        ),
+        folder, "classes",
+    )
+    least = joined.groupBy("label").agg(
+        F.min("least").alias("class_id"),
+        F.min(F.struct(F.col("least").isNull().alias("n"), "least", "node"))["node"].alias("head"),
+    )
+    return stored(
+        joined.join(least, "label").select(
+            "node", "least", "class_id", (F.col("node") == F.col("head")).alias("is_head")
+        ),
+        folder, "least",
+    )
 
 
 def near_duplicates(
@@ -376,36 +358,44 @@ def near_duplicates(
     text: str = "text",
     threshold: float = SIMILARITY,
 ) -> DataFrame:
-    """(doc_id, class_id, is_first) of every row: rows of a class are joined by
-    chains of texts of at least the given weighted similarity.
+    """(doc_id, class_id) of every row: rows of a class are joined by chains of
+    texts of at least the given weighted similarity.
 
     ``class_id`` is the class's least id. Equal texts are of one class, empty
     and NULL texts among them; a text without words is like its exact copies
-    alone. Rows with NULL id take part, and name a class only when it has no
-    other. ``is_first`` marks the rows of the least id. Repeated rows are
-    repeated in the result; an empty table gives an empty one; other columns are
-    not looked at.
+    alone. Rows with NULL id take part; a class without any id has NULL.
+    Repeated rows are repeated in the result; an empty table gives an empty one;
+    other columns are not looked at.
     """
-    spark = docs.sparkSession
-    prepare_workers(spark)
-    folder = shared_folder(spark)
+    classes = classes_of(docs, shared_folder(docs.sparkSession), doc_id, text, threshold)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    idf = word_weights(rows)
-    links = similar_pairs(rows, idf, folder, "text", threshold)
-    labels = connected_components(links, folder)
-
-    ids = with_node(rows, "text").groupBy("node").agg(F.min("doc_id").alias("least"))
-    joined = stored(
-        ids.join(labels, "node", "left").select(
-            "node", "least", F.coalesce("label", "node").alias("label")
-        ),
-        folder, "classes",
-    )
-    least = joined.groupBy("label").agg(F.min("least").alias("class_id"))
-    classes = stored(joined.join(least, "label").select("node", "class_id"), folder, "least")
     return (
         with_node(rows, "text")
         .select("doc_id", "node")
-        .join(classes, "node")
-        .select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first"))
+        .join(classes.select("node", "class_id"), "node")
+        .select("doc_id", "class_id")
+    )
+
+
+NO_ID = -(2**63)
+
+
+def keep_first(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    threshold: float = SIMILARITY,
+) -> DataFrame:
+    """One row of each class, with all its columns: the row of the least id, or,
+    if no row of a class has an id, one of its rows."""
+    classes = classes_of(docs, shared_folder(docs.sparkSession), doc_id, text, threshold)
+    heads = classes.filter("is_head").select(
+        F.col("node").alias("_node"), F.coalesce("least", F.lit(NO_ID)).alias("_id")
+    )
+    keyed = docs.select(
+        "*",
+        F.unhex(F.md5(whole_text(text))).alias("_node"),
+        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_id"),
     )
+    # The id is part of the key, so that the copies of one text are dealt out evenly.
+    return keyed.join(heads, ["_node", "_id"]).dropDuplicates(["_node", "_id"]).select(*docs.columns)
