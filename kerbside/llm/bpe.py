@@ -30,7 +30,7 @@ PIECES = regex.compile(
 )
 # A space after other white space: there a piece may span words.
 WIDE_SPACE = regex.compile(r"\s ")
-TREE_CELLS = 1_000_000
+TREE_CELLS = 500_000
 NONE = np.iinfo(np.int64).max
 
 

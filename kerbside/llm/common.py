@@ -43,7 +43,7 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 SHIPPED: set[str] = set()
 
 
-def prepare_workers(spark: SparkSession, rows: int = 500) -> None:
+def prepare_workers(spark: SparkSession, rows: int = 250) -> None:
     """Python workers get this package, as ``--py-files`` would give it to them,
     and fewer rows per Arrow batch, since a row here holds a whole text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -77,7 +77,7 @@ class PieceMemo:
     def __init__(
         self,
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-        limit: int = 300_000,
+        limit: int = 150_000,
     ):
         self.encode, self.limit = encode, limit
         self.clear()

@@ -32,7 +32,7 @@ from kerbside.llm.hashing import BASE, mix, prefix_sums, run_hashes
 LENGTH = 100
 GRAM = 20
 SPAN = LENGTH - GRAM + 1  # q-grams of a string
-PIECE = 1_000_000  # bytes hashed at once
+PIECE = 600_000  # bytes hashed at once
 PLACE = np.uint64((1 << 24) - 1)
 SETTLE = 600_000  # runs a task compares among themselves before it sends them
 REFINE = 2_000_000  # bytes refined at once

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kerbside.llm.common import prepare_workers, whole_text
 from kerbside.llm.hashing import mix, prefix_sums, run_hashes
 
-PIECE = 1_000_000  # characters hashed at once
+PIECE = 400_000  # characters hashed at once
 POINTS = 0x110000
 
 
