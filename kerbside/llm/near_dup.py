@@ -9,11 +9,11 @@ band are candidates, and exact weighted Jaccard similarity decides.
 Exact copies are one node. Nodes that share a band form a bucket, and buckets of
 any size are resolved without comparing all pairs. A small bucket is compared
 pair by pair. In a larger one every node is compared with one pivot, the node
-that is in most of the crowd's buckets; and its nodes are put into narrower
-buckets, by that band and any other together, which are resolved in the same
-way, until all bands are used. So what differs from the crowd in the same way
-still meets apart from the crowd, and nothing is looked for in vain among the
-thousands that are joined through the pivot anyway.
+that is in most of the crowd's buckets. Pairs that are joined by then, through
+whatever chain, need no look. Of any other pair one node at least is not joined
+with the pivot; such a pair can only be a link if its nodes differ from the pivot
+in the same way (``shared_keys`` says in how much), so what they differ in makes
+the smaller buckets of the next round, until no bucket has nodes of two classes.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ RAREST = 2_000
 PAIRWISE = 16  # nodes of a bucket that is compared pair by pair
 PAIRS_PER_TASK = 500  # nodes compared with one copy of a pivot
 SLICE = 2_048
+PLACES = 1 << 18  # of the counts that order keys
+MASK = np.uint64(PLACES - 1)
 
 
 class WordWeights:
@@ -209,120 +211,296 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, idf: WordWeights, text: str)
     return wanted.mapInArrow(gather, "node binary, shingles binary")
 
 
-def buckets_by_width(signed: DataFrame, folder: str) -> DataFrame:
-    """(bucket, node, n) of texts that share bands; n is the bucket's size.
+def prefix(masses: np.ndarray, share: float) -> int:
+    """How many of the masses it takes to exceed a share of them."""
+    sums = np.cumsum(masses, dtype=np.float64)
+    return int(np.searchsorted(sums, share * (1 + 1e-6) + 1e-6, side="right")) + 1
 
-    Buckets of one band first; those of more than ``PAIRWISE`` texts are taken
-    apart by one more band at a time. The set of bands and their keys make a
-    bucket, in whatever order they were added.
-    """
-    keys = signed.select("node", F.posexplode("bands").alias("band", "key")).select(
-        "node", F.expr("shiftleft(1, band)").alias("bit"), F.xxhash64("key").alias("part")
-    )
-    level = keys.select("node", F.col("bit").alias("mask"), F.col("part").alias("key"))
-    found = None
-    for width in range(1, BANDS + 1):
-        sizes = level.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = stored(level.join(sizes, ["mask", "key"]), folder, f"buckets-{width}")
-        buckets = sized.select(F.xxhash64("mask", "key").alias("bucket"), "node", "n")
-        found = buckets if found is None else found.unionByName(buckets)
-        crowded = sized.filter(F.col("n") > PAIRWISE)
-        if crowded.isEmpty():
-            break
-        level = (
-            crowded.join(keys, "node")
-            .filter(F.col("mask").bitwiseAND(F.col("bit")) == 0)
-            .select(
-                "node",
-                F.col("mask").bitwiseOR(F.col("bit")).alias("mask"),
-                F.col("key").bitwiseXOR(F.col("part")).alias("key"),
-            )
-            .distinct()
-        )
-    return found
 
+def popularity(sets: DataFrame) -> np.ndarray:
+    """Roughly how many sets hold each shingle, by ``PLACES`` parts of its hash.
+    Only the order of keys depends on it, not what is found."""
 
-def bucket_pairs(sized: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b): all of a small bucket, pivot and node of a larger."""
-    small = sized.filter(F.col("n") <= PAIRWISE).groupBy("bucket").agg(
-        F.array_sort(F.collect_set("node")).alias("nodes")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for data in batch.column("shingles").to_pylist():
+                held += np.bincount(unpack(data)[0] & MASK, minlength=PLACES)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["at", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "at bigint, n bigint")
+    table = counted.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(PLACES, np.int64)
+    out[np.asarray(table.column("at").combine_chunks()).astype(np.int64)] = np.asarray(
+        table.column("n").combine_chunks()
     )
-    pairs = small.select("nodes", F.posexplode("nodes").alias("i", "a")).select(
-        "a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(PAIRWISE))).alias("b")
+    return out
+
+
+def shared_keys(
+    pivot, node, is_open: bool, near: float, limit: float, held: np.ndarray
+) -> tuple[np.ndarray, int]:
+    """Differences of a node from a pivot as keys, in one order for all nodes,
+    and how many of them are short: a link between two nodes of which at least
+    one is open shares a key that is short for one of them. The open nodes are
+    no closer to the pivot than ``near``, and further than ``limit``.
+
+    With D the mass of all differences of a node from pivot p, S what nodes a
+    and b share of it, and U = |a or b|, their distance is (Da + Db - 2 S) / U,
+    so a link has 2 S >= Da + Db - limit U. With f(x) = x / (2 - x), a link has
+    limit U <= f(limit) (|a| + |b|) and |b| >= (1 - limit) |a|; b is open, so
+    Db >= f(near) (|p| + |b|). What follows a's first differences of mass Da - S
+    (the short ones) is too little. For b, S >= Db - limit U, U <= |b| / (1 - limit).
+    The order puts first what few nodes differ in, so that what all have or lack
+    other than a pivot with edits of its own comes last.
+    """
+    _, left, right = np.intersect1d(
+        pivot[0], node[0], assume_unique=True, return_indices=True
     )
+    more = node[1].astype(np.float64)
+    more[right] -= pivot[1][left]
+    lack = pivot[1].astype(np.float64)
+    lack[left] -= node[1][right]
+    gained, lost = node[0][more > 0], pivot[0][lack > 0]
+    keys = mix(np.concatenate([gained, lost ^ np.uint64(0x5BD1E995)]))
+    masses = np.concatenate([more[more > 0], lack[lack > 0]])
+    crowd = held[pivot[0] & MASK].max()
+    order = np.lexsort((keys, np.concatenate([held[gained & MASK], crowd - held[lost & MASK]])))
+    keys, masses = keys[order], masses[order]
+    total, own = float(masses.sum()), float(node[1].sum(dtype=np.float64))
+    f, g = near / (2 - near), limit / (2 - limit)
+    need = f * float(pivot[1].sum(dtype=np.float64)) - g * own + (f - g) * (1 - limit) * own
+    least = (total + need) / 2
+    short = 0 if least > total * (1 + 1e-6) + 1e-6 else prefix(masses, max(0.0, total - least))
+    taken = max(short, prefix(masses, limit / (1 - limit) * own)) if is_open else short
+    return keys[:taken].view(np.int64), min(short, len(keys))
+
+
+def band_buckets(signed: DataFrame) -> DataFrame:
+    """(bucket, node, label, n) of texts that share a band; n is the bucket's size."""
+    keys = signed.select(F.explode("bands").alias("bucket"), "node")
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return keys.join(sizes, "bucket").select(
+        "bucket", "node", F.xxhash64("node").alias("label"), "n"
+    )
+
+
+def stars_of(sized: DataFrame) -> DataFrame:
+    """Distinct (a, b, joined): pivot and node of the buckets too large for pairs."""
     large = sized.filter(F.col("n") > PAIRWISE)
     # The node that most of the crowd is like is in most of the large buckets.
     crowd = large.groupBy("node").agg(F.sum("n").alias("crowd"))
     pivots = (
         large.join(crowd, "node")
         .groupBy("bucket")
-        .agg(F.max(F.struct("crowd", "node"))["node"].alias("pivot"))
+        .agg(F.max(F.struct("crowd", "node", "label")).alias("pivot"))
+        .select("bucket", F.col("pivot.node").alias("a"), F.col("pivot.label").alias("of"))
     )
-    stars = (
+    return (
         large.join(pivots, "bucket")
-        .filter(F.col("pivot") != F.col("node"))
-        .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        .filter(F.col("a") != F.col("node"))
+        .select("a", F.col("node").alias("b"), (F.col("of") == F.col("label")).alias("joined"))
+        .distinct()
+    )
+
+
+def bucket_pairs(sized: DataFrame, stars: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that are not joined yet: all of a small bucket, pivot
+    and node of a larger."""
+    small = sized.filter(F.col("n") <= PAIRWISE).groupBy("bucket").agg(
+        F.array_sort(F.collect_set(F.struct("node", "label"))).alias("nodes")
     )
-    return pairs.unionByName(stars).distinct()
+    pairs = small.select("nodes", F.posexplode("nodes").alias("i", "a")).select(
+        "a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(PAIRWISE))).alias("b")
+    ).filter(F.col("a.label") != F.col("b.label")).select("a.node", F.col("b.node").alias("b"))
+    return pairs.toDF("a", "b").unionByName(
+        stars.filter("NOT joined").select("a", "b")
+    ).distinct()
 
 
 COMPARED = "a binary, b binary, similarity double"
+KEYED = "bucket bigint, node binary, short boolean"
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact similarity of pairs (a, b).
+def meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, near, shingles) of pairs (a, b, near), for tasks that take them one by one.
 
     The sets of b travel to a's; a's are sent once for every
-    ``PAIRS_PER_TASK`` partners, and partners pass by one at a time.
+    ``PAIRS_PER_TASK`` partners, before them and without b.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("parts"))
     spread = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     partners = spread.join(sets.withColumnRenamed("node", "b"), "b").select(
-        "a", "part", "b", "shingles"
+        "a", "part", "b", "near", "shingles"
     )
     own = (
         counts.join(sets.withColumnRenamed("node", "a"), "a")
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        .select("a", "part", F.lit(None).cast("binary").alias("b"), "shingles")
+        .select("a", "part", F.lit(None).cast("binary").alias("b"),
+                F.lit(0.0).alias("near"), "shingles")
+    )
+    return (
+        partners.unionByName(own)
+        .repartition("a", "part")
+        .sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     )
 
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Per batch of ``meet``, its (a, b, near, set of a, set of b)."""
+    key, pivot = None, None
+    for batch in batches:
+        out = []
+        columns = (batch.column(n).to_pylist() for n in ("a", "b", "near", "shingles"))
+        for a, b, near, data in zip(*columns):
+            if b is None:
+                key, pivot = a, unpack(data)
+                continue
+            if a != key:
+                raise ValueError("a pair came without its first set")
+            out.append((a, b, near, pivot, unpack(data)))
+        yield out
+
+
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Exact similarity of pairs (a, b)."""
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pivot = None, None
-        for batch in batches:
-            out = []
-            columns = (batch.column(n).to_pylist() for n in ("a", "b", "shingles"))
-            for a, b, data in zip(*columns):
-                if b is None:
-                    key, pivot = a, unpack(data)
-                    continue
-                if a != key:
-                    raise ValueError("a pair came without its first set")
-                out.append((a, b, similarity(pivot, unpack(data))))
-            columns = list(zip(*out)) or [[], [], []]
+        for found in met(batches):
+            rows = [(a, b, similarity(one, other)) for a, b, _, one, other in found]
+            columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in
                  zip(columns, (pa.binary(), pa.binary(), pa.float64()))],
                 names=["a", "b", "similarity"],
             )
 
-    return (
-        partners.unionByName(own)
-        .repartition("a", "part")
-        .sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        .mapInArrow(measure, COMPARED)
+    return meet(pairs.withColumn("near", F.lit(0.0)), sets).mapInArrow(measure, COMPARED)
+
+
+def difference_buckets(
+    stars: DataFrame, sets: DataFrame, is_open: bool, threshold: float, held
+) -> DataFrame:
+    """(bucket, node, short) of the nodes of stars: a row per shared key."""
+    limit = 1 - threshold
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in met(batches):
+            keys, nodes, short = [np.zeros(0, np.uint64)], [], [np.zeros(0, bool)]
+            for a, b, near, one, other in found:
+                own, n = shared_keys(one, other, is_open, near, limit, held.value)
+                keys.append(mix(own.view(np.uint64) ^ np.frombuffer(a[:8], np.uint64)))
+                nodes.extend([b] * len(own))
+                short.append(np.arange(len(own)) < n)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(keys).view(np.int64)),
+                    pa.array(nodes, pa.binary()),
+                    pa.array(np.concatenate(short)),
+                ],
+                names=["bucket", "node", "short"],
+            )
+
+    return meet(stars.select("a", "b", "near"), sets).mapInArrow(keyed, KEYED)
+
+
+def next_buckets(
+    stars: DataFrame,
+    measured: DataFrame,
+    sets: DataFrame,
+    labels: DataFrame,
+    folder: str,
+    threshold: float,
+    held,
+) -> DataFrame:
+    """Buckets of the nodes that may have a link besides those through pivots."""
+    short_labels = labels.select("node", F.xxhash64("label").alias("label"))
+
+    def labelled(frame: DataFrame, node: str) -> DataFrame:
+        told = short_labels.select(F.col("node").alias(node), F.col("label").alias("_told"))
+        return frame.join(told, node, "left").select(
+            *frame.columns, F.coalesce("_told", F.xxhash64(node)).alias(f"label_{node}")
+        )
+
+    told = labelled(labelled(stars.select("a", "b"), "a"), "b").select(
+        "a", "b", (F.col("label_a") != F.col("label_b")).alias("open")
+    )
+    told = stored(told, folder, "stars")
+    nearest = (
+        told.filter("open").join(measured, ["a", "b"]).groupBy("a")
+        .agg((1 - F.max("similarity")).alias("near"))
+    )
+    told = stored(told.join(nearest, "a"), folder, "near")
+    apart = told.filter("open")
+    keys = stored(difference_buckets(apart, sets, True, threshold, held), folder, "open")
+    # The joined nodes of a pivot matter only where an open one shares a key.
+    rest = difference_buckets(told.filter("NOT open"), sets, False, threshold, held).join(
+        keys.select("bucket").distinct(), "bucket", "left_semi"
     )
+    every = labelled(keys.unionByName(stored(rest, folder, "joined")), "node").withColumnRenamed(
+        "label_node", "label"
+    )
+    alive = every.groupBy("bucket").agg(
+        F.count("*").alias("n"),
+        F.max("short").alias("short"),
+        F.min("label").alias("least"),
+        F.max("label").alias("most"),
+    ).filter("short AND least != most").select("bucket", "n")
+    return every.join(alive, "bucket").select("bucket", "node", "label", "n")
+
+
+def further_labels(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """(node, label) of components, after more links between their nodes."""
+    ends = links
+    for end in ("a", "b"):
+        told = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        ends = ends.join(told, end, "left")
+    lone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+        labels, "node", "left_anti"
+    )
+    every = labels.unionByName(lone.select("node", F.col("node").alias("label")))
+    apart = ends.select(
+        F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")
+    )
+    merged = connected_components(apart, folder).select(
+        F.col("node").alias("label"), F.col("label").alias("to")
+    )
+    joined = every.join(merged, "label", "left").select(
+        "node", F.coalesce("to", "label").alias("label")
+    )
+    return stored(joined, folder, "labels")
 
 
-def similar_pairs(
+def labels_of(
     docs: DataFrame, idf: WordWeights, folder: str, text: str, threshold: float
 ) -> DataFrame:
-    """Links (a, b) between candidates of at least the given similarity."""
+    """(node, label) of the nodes with links: candidates of at least the given
+    similarity, joined by chains."""
     signed = stored(signatures(docs, idf, text), folder, "signatures")
-    pairs = stored(bucket_pairs(buckets_by_width(signed, folder)), folder, "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(shingle_sets(docs, nodes, idf, text), folder, "sets")
-    measured = stored(compare(pairs, sets), folder, "measured")
-    return measured.filter(F.col("similarity") >= threshold).select("a", "b")
+    buckets = stored(band_buckets(signed), folder, "buckets")
+    sets = stored(
+        shingle_sets(docs, buckets.select("node").distinct(), idf, text), folder, "sets"
+    )
+    labels, turn, held = None, 0, None
+    while True:
+        here = f"{folder}/turn-{turn}"
+        stars = stored(stars_of(buckets), here, "pivots")
+        measured = stored(compare(bucket_pairs(buckets, stars), sets), here, "measured")
+        found = measured.filter(F.col("similarity") >= threshold).select("a", "b")
+        if labels is None:
+            labels = connected_components(found, f"{here}/components")
+        elif not found.isEmpty():
+            labels = further_labels(labels, found, f"{here}/components")
+        if stars.isEmpty():
+            return labels
+        turn += 1
+        if held is None:
+            held = docs.sparkSession.sparkContext.broadcast(popularity(sets))
+        after = next_buckets(stars, measured, sets, labels, here, threshold, held)
+        buckets = stored(after, here, "buckets")
+        if buckets.isEmpty():
+            return labels
 
 
 def classes_of(docs: DataFrame, folder: str, doc_id: str, text: str, threshold: float) -> DataFrame:
@@ -331,8 +509,7 @@ def classes_of(docs: DataFrame, folder: str, doc_id: str, text: str, threshold:
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     prepare_workers(docs.sparkSession)
     idf = word_weights(rows)
-    links = similar_pairs(rows, idf, folder, "text", threshold)
-    labels = connected_components(links, folder)
+    labels = labels_of(rows, idf, folder, "text", threshold)
     ids = with_node(rows, "text").groupBy("node").agg(F.min("doc_id").alias("least"))
     joined = stored(
         ids.join(labels, "node", "left").select(

@@ -167,3 +167,50 @@ def test_stages_take_any_documents(spark, tmp_path):
             frame = spark.createDataFrame(after.collect(), after.schema)
         assert frame.filter(~F.col("round_trip")).count() == 0
         assert frame.count() == (4 if rows else 0)
+
+
+def test_links_between_open_nodes_share_a_key():
+    """Whatever the pivot, by comparison of all pairs."""
+    base = prose(80, 21)
+    texts = [" ".join(edit(base, 0.01 * (k % 6), 300 + k)) for k in range(60)]
+    texts += [" ".join(base[: 60 + k]) for k in range(0, 20, 3)]
+    sets = near_dup.shingles_of_texts(texts, weights_of(texts))
+    held = np.bincount(
+        np.concatenate([k for k, _ in sets]) & near_dup.MASK, minlength=near_dup.PLACES
+    )
+    links = 0
+    for pivot in sets[:12]:
+        alike = [near_dup.similarity(pivot, s) for s in sets]
+        is_open = [s < 0.8 for s in alike]
+        near = 1 - max(s for s in alike if s < 0.8)
+        keyed = [near_dup.shared_keys(pivot, s, o, near, 1 - 0.8, held)
+                 for s, o in zip(sets, is_open)]
+        for i in range(len(sets)):
+            for j in range(i):
+                if (is_open[i] or is_open[j]) and near_dup.similarity(sets[i], sets[j]) >= 0.8:
+                    (a, m), (b, n) = keyed[i], keyed[j]
+                    assert set(a[:m]) & set(b) or set(a) & set(b[:n])
+                    links += 1
+    assert links > 100
+
+
+def test_forks_within_a_large_crowd(spark):
+    """1,000 near copies, and forks of them by one edit each that more texts hold
+    than are compared pair by pair; each fork has near copies of its own."""
+    base = prose(300, 31)
+    texts = [" ".join(edit(base, 0.004, 5_000 + k)) for k in range(1_000)]
+    for fork in range(3):
+        changed = [*base]
+        for at in range(fork, 300, 37):
+            changed[at] = f"fork{fork}"
+        texts += [" ".join(edit(changed, 0.012, 9_000 + 100 * fork + k)) for k in range(40)]
+    sets = near_dup.shingles_of_texts(texts, weights_of(texts))
+    label = list(range(len(texts)))  # as brute_classes, without pairs that are joined
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (
+                texts[i] == texts[j] or near_dup.similarity(sets[i], sets[j]) >= 0.8
+            ):
+                least, most = sorted((label[i], label[j]))
+                label = [least if x == most else x for x in label]
+    assert found_classes(spark, texts) == dict(enumerate(label))
