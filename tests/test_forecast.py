@@ -1,19 +1,24 @@
 import math
 import random
 from datetime import date, timedelta
+from pathlib import Path
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from kerbside.operators import features, forecast
 from kerbside.schemas import TARGET_COLUMN, feature_columns
+from tests.support import duck
 
 SLICE = (
     "sensor_key string, date_key date, event_hour int, day_of_week int, is_weekend boolean, "
     "pedestrian_count bigint"
 )
 DAY = date(2026, 1, 30)
+FOLDER = "/root/testdata/sf0.001"
 
 
 def hours(sensor, count, value, skip=()):
@@ -183,3 +188,37 @@ class TestModel:
             return forecast.score(m, built).agg(F.round(F.sum("prediction"), 6)).first()[0]
 
         assert total(loaded) == total(model)
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables here")
+def test_registered_model_is_the_whole_one(spark, monkeypatch):
+    """The query asks for all trees and rows, and its errors are those of its
+    predictions by SQL. Only here the fit itself is shortened."""
+    asked, scored = [], []
+    make, score = forecast.boosted_trees, forecast.score
+
+    def fewer(max_iter=300, **params):
+        asked.append((max_iter, params))
+        return make(2, **params)
+
+    def kept(model, rows):
+        scored.append(score(model, rows))
+        return scored[-1]
+
+    monkeypatch.setattr(forecast, "boosted_trees", fewer)
+    monkeypatch.setattr(forecast, "score", kept)
+    found = entry.queries()["gbt_metrics"](spark, FOLDER).first()
+    assert asked == [(300, {})]
+    test = scored[0].select(TARGET_COLUMN, "prediction").toPandas()
+    con = duckdb.connect()
+    con.register("test", test)
+    n, usable, mae, mape = con.execute(f"""
+        SELECT count(*), count(*) FILTER (isfinite(prediction) AND prediction >= 0),
+            avg(abs({TARGET_COLUMN} - prediction)),
+            avg(abs(greatest({TARGET_COLUMN}, 1) - greatest(prediction, 1))
+                / greatest({TARGET_COLUMN}, 1))
+        FROM test""").fetchone()
+    sizes = duck(FOLDER).execute(entry.oracle_sql()["split_sizes"]).fetchall()
+    assert dict(sizes) == {"train": found.n_train, "test": found.n_test}
+    assert n == usable == found.n_test > 0
+    assert found.mae == pytest.approx(mae) and found.mape == pytest.approx(mape)
