@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one that adds
-to it what toxic texts say much more often than ordinary ones. A window of a
-text that the toxic dictionary compresses better holds such matter. Counts of
-windows over several margins become a probability by a logistic regression
-fitted on documents that neither dictionary was trained on.
+Zstandard dictionaries of equal size are trained on toxic and on ordinary text;
+what a window of a text gains under the toxic one tells its wording. A third and
+fourth are a larger one of ordinary text, without and with what toxic texts say
+much more often than ordinary ones: a window that the fourth compresses better
+holds such matter. Counts of these windows over several margins and both gains
+become a probability by a logistic regression fitted on documents that no
+dictionary was trained on.
 """
 
 from __future__ import annotations
@@ -88,9 +90,12 @@ def telling_content(toxic: list[str], ordinary: list[str]) -> bytes:
 
 @dataclass(frozen=True)
 class Model:
-    """Both dictionaries and the weights of the calibration."""
+    """The dictionaries and the weights of the calibration. ``plain`` and
+    ``toxic`` are of equal size, ``telling`` is more than ``ordinary``."""
 
     ordinary: bytes
+    telling: bytes
+    plain: bytes
     toxic: bytes
     weights: tuple[float, ...]
     base_rate: float
@@ -109,14 +114,18 @@ class Scorer:
         self.model = model
         if model.weights:
             self.ordinary = _compressor(model.ordinary).compress
+            self.telling = _compressor(model.telling).compress
+            self.plain = _compressor(model.plain).compress
             self.toxic = _compressor(model.toxic).compress
 
     def features(self, text: str) -> list[float]:
         found = windows(text)
-        ordinary, toxic = self.ordinary, self.toxic
-        gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in found])
+        ordinary, telling, plain, toxic = self.ordinary, self.telling, self.plain, self.toxic
+        gains = np.array([len(ordinary(w)) - len(telling(w)) for w in found])
+        wording = np.array([len(plain(w)) - len(toxic(w)) for w in found])
         over = [np.log1p(np.count_nonzero(gains >= m)) for m in MARGINS]
-        return [1.0, *over, np.log(len(found)), max(0.0, float(gains.max()))]
+        return [1.0, *over, np.log(len(found)), max(0.0, float(gains.max())),
+                float(wording.mean()), max(0.0, float(wording.max()))]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.model.weights:
@@ -136,6 +145,16 @@ def _regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
+def dictionary(texts: list[str], most: int) -> bytes:
+    """A dictionary of up to so many bytes, trained on the windows of texts."""
+    samples = [w for t in texts for w in windows(t)]
+    size = min(most, sum(map(len, samples)) // 4)
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:  # too little text to find repeats in
+        return b"".join(samples)[: max(1, size)]
+
+
 def train(labelled: list[tuple[int, str, int]], base_rate: float) -> Model:
     """A model of (id, text, label) rows of the sample; two thirds of them, by a
     hash of the id, for the dictionaries and a third for the calibration.
@@ -151,22 +170,20 @@ def train(labelled: list[tuple[int, str, int]], base_rate: float) -> Model:
     ordinary = [t for t, y in parts[0] if not y]
     y = np.array([label for _, label in parts[1]], float)
     if len(toxic) < GRAM_DOCS or len(ordinary) < GRAM_DOCS or not 0 < y.sum() < len(y):
-        return Model(b"", b"", (), base_rate)
-    samples = [w for t in ordinary for w in windows(t)]
-    size = min(ORDINARY_BYTES, sum(map(len, samples)) // 4)
-    try:
-        content = zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text to find repeats in
-        content = b"".join(samples)[:size]
-    telling = telling_content(toxic, ordinary)
+        return Model(b"", b"", b"", b"", (), base_rate)
+    content = dictionary(ordinary, ORDINARY_BYTES)
+    worded = dictionary(toxic, ORDINARY_BYTES)
+    plain = dictionary(ordinary, len(worded))
+    size = min(len(plain), len(worded))
     # A dictionary's end is what a match costs least to reach.
-    draft = Model(content, content + telling, (0.0,), base_rate)
+    forms = (content, content + telling_content(toxic, ordinary), plain[-size:], worded[-size:])
+    draft = Model(*forms, (0.0,), base_rate)
     scorer = Scorer(draft)
     x = np.array([scorer.features(t) for t, _ in parts[1]])
     share = y.mean()
     rate = min(max(base_rate, 0.01), 0.99)
     weight = np.where(y > 0, rate / share, (1 - rate) / (1 - share))
-    return Model(content, content + telling, tuple(_regression(x, y, weight)), base_rate)
+    return Model(*forms, tuple(_regression(x, y, weight)), base_rate)
 
 
 def is_held_out(doc_id: str | Column = "doc_id") -> Column:

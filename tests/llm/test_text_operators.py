@@ -73,6 +73,24 @@ def test_toxic_texts_score_higher():
     assert ((scores >= 0.3) == (truth == 1)).mean() > 0.95
 
 
+def test_wording_too_varied_for_keywords():
+    """Toxic texts use words of their own, each in too few texts to be telling."""
+    own = ["".join(random.Random(k).choice("klmnopqrstuvwxyz") for _ in range(9))
+           for k in range(7_000, 7_400)]
+    rows = []
+    for k in range(900):
+        said, toxic = prose(40, 70_000 + k).split(), k % 3 == 0
+        if toxic:
+            for n in range(8):
+                said[n * 5] = own[(k // 3 * 8 + n) * 7 % 400]
+        rows.append((k, " ".join(said), int(toxic)))
+    assert not toxicity.telling_content(
+        [t for _, t, y in rows[:600] if y], [t for _, t, y in rows[:600] if not y])
+    scores = toxicity.Scorer(toxicity.train(rows[:600], 0.3)).scores([t for _, t, _ in rows[600:]])
+    truth = np.array([y for *_, y in rows[600:]])
+    assert (scores[truth == 1][:, None] > scores[truth == 0]).mean() > 0.8
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     rows = labelled(200, 5000)
     frame = docs(spark, [(d, t, "x", "y", 1, "z") for d, t, _ in rows])
