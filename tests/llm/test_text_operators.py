@@ -75,8 +75,13 @@ def test_toxic_texts_score_higher():
 
 def test_wording_too_varied_for_keywords():
     """Toxic texts use words of their own, each in too few texts to be telling."""
-    own = ["".join(random.Random(k).choice("klmnopqrstuvwxyz") for _ in range(9))
-           for k in range(7_000, 7_400)]
+    own, seen, chance = [], set(), random.Random(7)
+    while len(own) < 400:
+        word = "".join(chance.choice("klmnopqrstuvwxyz") for _ in range(9))
+        grams = {g for _, g in toxicity._grams(f" {word} ".encode())}
+        if not grams & seen:
+            own.append(word)
+            seen |= grams
     rows = []
     for k in range(900):
         said, toxic = prose(40, 70_000 + k).split(), k % 3 == 0
