@@ -13,6 +13,8 @@ word shingles verifies what is found.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -27,6 +29,8 @@ from kerbside.llm.common import (
     WORDS_PER_SHINGLE,
     prepare_workers,
     runs,
+    shared_folder,
+    stored,
     whole_text,
 )
 from kerbside.llm.shingles import shingles_of
@@ -107,17 +111,32 @@ class WindowClass:
         return pairs[0], pairs[1]
 
 
+@dataclass(frozen=True)
+class Block:
+    """Items to search for at once, and what the whole benchmark says of their
+    shingles: how many items it has, and the shingles (ascending) that more than
+    one of these holds with the number of holders, both packed."""
+
+    items: tuple[tuple[int, str], ...]
+    total: int
+    common: bytes
+    holders: bytes
+
+
 class ItemIndex:
     """All items of a block: window classes, exact runs for short items, weights."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...]):
+    def __init__(self, block: Block):
+        items = block.items
         self.ids = [item_id for item_id, _ in items]
         words = words_of_texts([text for _, text in items])
         self.shingles = [shingles_of(w) for w in words]
-        holders = Counter(s for own in self.shingles for s in set(own.tolist()))
-        rare = np.log1p(len(items))
-        self.weight = {s: np.log1p(len(items) / n) for s, n in holders.items()}
-        self.rare = float(rare)
+        holders = zip(
+            np.frombuffer(block.common, np.uint64).tolist(),
+            np.frombuffer(block.holders, np.int64).tolist(),
+        )
+        self.weight = {s: np.log1p(block.total / n) for s, n in holders}
+        self.rare = float(np.log1p(block.total))
         self.short: dict[int, dict[int, list[int]]] = {}
         sized = []
         for number, w in enumerate(words):
@@ -218,8 +237,8 @@ class ItemIndex:
 
 
 @lru_cache(maxsize=4)
-def index_of(items: tuple[tuple[int, str], ...]) -> ItemIndex:
-    return ItemIndex(items)
+def index_of(block: Block) -> ItemIndex:
+    return ItemIndex(block)
 
 
 LEAKS = pa.list_(pa.struct([
@@ -229,22 +248,52 @@ LEAKS = pa.list_(pa.struct([
 LEAKS_TYPE = "array<struct<item_id:bigint,similarity:double,first_word:int,end_word:int>>"
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> list[tuple]:
+def item_shingles(items: DataFrame) -> DataFrame:
+    """(block, shingle) of every item, each shingle once an item."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [
+                np.unique(shingles_of(w)) for w in words_of_texts(batch.column("body").to_pylist())
+            ]
+            counts = [len(o) for o in own]
+            blocks = np.repeat(batch.column("block").to_numpy(), counts)
+            flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks), pa.array(flat)], names=["block", "shingle"]
+            )
+
+    return items.select("block", "body").mapInArrow(split, "block bigint, shingle bigint")
+
+
+def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> list[Block]:
     """The items in blocks of about ``ITEMS_PER_BLOCK``, whose texts alone are
-    sent to tasks at once. The benchmark is the stated query set; NULL and empty
-    items match nothing and are left out."""
+    sent to tasks at once; weights are those of the whole benchmark. The
+    benchmark is the stated query set; NULL and empty items match nothing and
+    are left out."""
     usable = benchmark.select(
         F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("body")
     ).filter(F.length("body") > 0).distinct()
-    blocks = max(1, -(-usable.count() // ITEMS_PER_BLOCK))
+    total = usable.count()
+    blocks = max(1, -(-total // ITEMS_PER_BLOCK))
     numbered = usable.withColumn("block", F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks)))
-    return [
-        tuple(sorted(
-            ((r.item_id, r.body) for r in numbered.filter(F.col("block") == b).collect()),
-            key=lambda i: (i[0] is None, i[0] or 0, i[1]),
-        ))
-        for b in range(blocks)
-    ]
+    parts = item_shingles(numbered)
+    common = parts.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    told = stored(
+        parts.distinct().join(common, "shingle"), shared_folder(benchmark.sparkSession), "holders"
+    )
+    out = []
+    for b in range(blocks):
+        rows = numbered.filter(F.col("block") == b).collect()
+        items = sorted(
+            ((r.item_id, r.body) for r in rows), key=lambda i: (i[0] is None, i[0] or 0, i[1])
+        )
+        own = told.filter(F.col("block") == b).select("shingle", "n").toArrow()
+        shingles = own.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(shingles)
+        counts = own.column("n").to_numpy().astype(np.int64)
+        out.append(Block(tuple(items), total, shingles[order].tobytes(), counts[order].tobytes()))
+    return out
 
 
 def find_leaks(
@@ -266,8 +315,8 @@ def find_leaks(
     """
     prepare_workers(docs.sparkSession)
 
-    def searcher(items: tuple):
-        held = docs.sparkSession.sparkContext.broadcast(items)
+    def searcher(block: Block):
+        held = docs.sparkSession.sparkContext.broadcast(block)
 
         @arrow_udf(LEAKS_TYPE)
         def search(texts: pa.Array) -> pa.Array:
@@ -283,8 +332,8 @@ def find_leaks(
 
         return search
 
-    blocks = [b for b in item_blocks(benchmark, item_id, item_text) if b]
-    columns: list[Column] = [searcher(items)(whole_text(text)) for items in blocks]
+    blocks = [b for b in item_blocks(benchmark, item_id, item_text) if b.items]
+    columns: list[Column] = [searcher(block)(whole_text(text)) for block in blocks]
     if not columns:
         columns = [F.array().cast(LEAKS_TYPE)]
     return docs.withColumn(leaks, columns[0] if len(columns) == 1 else F.concat(*columns))

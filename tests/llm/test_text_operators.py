@@ -281,6 +281,30 @@ def test_no_items_no_documents(spark):
     assert decontaminate.find_leaks(docs(spark, []), some).count() == 0
 
 
+def test_weights_are_those_of_the_whole_benchmark(spark, monkeypatch):
+    """Items with a template in common, in one block and in many."""
+    frame = prose(12, 61)
+    items = [(k, f"{frame} {prose(30, 600 + k)}") for k in range(40)]
+    texts = []
+    for k, item in items:
+        found = item.split()
+        found[: k % 5] = ["changed"] * (k % 5)
+        texts.append((k, " ".join([prose(20, k), *found, prose(20, 99 + k)])))
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = docs(spark, [(k, t, None, None, None, None) for k, t in texts])
+    seen = []
+    for size in (5, 2_000):
+        monkeypatch.setattr(decontaminate, "ITEMS_PER_BLOCK", size)
+        blocks = decontaminate.item_blocks(table, "item_id", "text")
+        assert (len(blocks) > 4) == (size == 5)
+        found = decontaminate.find_leaks(rows, table).select("doc_id", "leaks").collect()
+        seen.append({
+            (r.doc_id, x.item_id): (round(x.similarity, 9), x.first_word, x.end_word)
+            for r in found for x in r.leaks
+        })
+    assert seen[0] == seen[1] and len(seen[0]) >= 20
+
+
 @needs_tables
 def test_decontamination_query(spark):
     items = [(i, t) for i, t in given(spark, "benchmark")]
