@@ -14,11 +14,14 @@ from kerbside.llm import (
     decontaminate,
     imatch,
     near_dup,
+    packing,
     secrets,
     substring_dedup,
+    term_search,
     token_count,
     token_store,
     toxicity,
+    whitening,
 )
 from kerbside.llm.common import read_table, shared_folder, whole_text
 
@@ -27,6 +30,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 STORE_END_ID = 2
 TOKEN_LIMIT = 2048
+PACK_END_ID = 1
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,6 +137,26 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns, WORD_BPE))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector along each component."""
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents and where they lie in sequences."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack(docs, BYTE_BPE, PACK_END_ID).select(
+        "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset",
+    )
+
+
+def op13_term_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The highest-scoring documents of each benchmark item."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return term_search.search(docs, read_table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_imatch": op2_imatch,
@@ -144,5 +168,44 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_near_dup": op9_near_dup,
     "op10_chat": op10_chat,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_term_search": op13_term_search,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+# Terms are the maximal matches of the pattern; RE2 wants the class by what it
+# holds. All but the weight is in whole numbers.
+TERM_SEARCH_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM documents
+), counts AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY ALL
+), sizes AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY ALL
+), corpus AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM benchmark
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, corpus GROUP BY term, docs
+), parts AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))
+    AS part
+  FROM counts JOIN sizes USING (doc_id), corpus
+), scores AS (
+  SELECT item_id, doc_id, sum(w * part)::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN parts USING (term) GROUP BY ALL
+)
+SELECT item_id,
+  row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank,
+  doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+ORACLE_SQL: dict[str, str] = {"op13_term_search": TERM_SEARCH_SQL}
