@@ -124,9 +124,7 @@ def _landed_bronze(spark: SparkSession, folder: str) -> str:
 
 
 def _rebuilt_silver(spark: SparkSession, folder: str, root: str) -> str:
-    silver_plan.rebuild_silver(
-        spark, _landed_bronze(spark, folder), f"{root}/silver", f"{root}/quarantine"
-    )
+    silver_plan.rebuild_silver(spark, _landed_bronze(spark, folder), f"{root}/silver")
     return f"{root}/silver"
 
 
@@ -264,19 +262,15 @@ def silver_incremental(spark, folder):
     """Silver after loads of successive arrival days, each merged into it."""
     landed, root = _landed_bronze(spark, folder), _work_folder(spark)
     for start, end in _arrival_loads(bronze_source.read_bronze(spark, landed)):
-        silver_plan.add_arrivals(
-            spark, landed, f"{root}/silver", f"{root}/quarantine", f"{root}/staging", start, end
-        )
+        silver_plan.add_arrivals(spark, landed, f"{root}/silver", start, end)
     return silver_plan.read_silver(spark, f"{root}/silver")
 
 
 @query
 def quarantine_table(spark, folder):
     """The quarantine the same job writes, by reported date."""
-    root = _work_folder(spark)
-    _rebuilt_silver(spark, folder, root)
-    stored = spark.read.parquet(f"{root}/quarantine")
-    return stored.groupBy(F.col("sensing_date").cast("string").alias("sensing_date")).agg(
+    rebuilt = _rebuilt_silver(spark, folder, _work_folder(spark))
+    return silver_plan.read_quarantine(spark, rebuilt).groupBy("sensing_date").agg(
         F.count("*").alias("quarantined_rows"),
         F.count("location_id").alias("with_location"),
         F.count("event_ts_utc").alias("with_time"),
@@ -333,10 +327,27 @@ def gold_published(spark, folder):
     """The fact as published by the job that checks every rule first."""
     root = _work_folder(spark)
     stored = _rebuilt_silver(spark, folder, root)
-    gold_plan.publish_gold(spark, stored, f"{root}/gold", f"{root}/staging")
+    gold_plan.publish_gold(spark, stored, f"{root}/gold")
     return gold_plan.read_marts(spark, f"{root}/gold")["fact_footfall_hourly"]
 
 
+@query
+def marts_by_name(spark, folder):
+    """The published marts as SQL consumers find them: by name."""
+    root = _work_folder(spark)
+    stored = _rebuilt_silver(spark, folder, root)
+    gold_plan.publish_gold(spark, stored, f"{root}/gold")
+    gold_plan.register_marts(spark, f"{root}/gold", stored)
+    return spark.sql("""
+        SELECT location_id, d.is_weekend, count(*) AS hours,
+            sum(pedestrian_count) AS pedestrians
+        FROM fact_footfall_hourly
+        JOIN dim_sensor USING (sensor_key)
+        JOIN dim_date d ON d.date_day = date_key
+        GROUP BY location_id, d.is_weekend
+    """)
+
+
 @query
 def scd2_versions(spark, folder):
     return scd2.build_versions(event_feed.attribute_feed(_events(spark, folder)), ["status"])
@@ -660,9 +671,7 @@ def stream_silver(spark, folder):
     """Silver as the streaming job leaves it after several micro-batches."""
     root, landed = _work_folder(spark), _landed_bronze(spark, folder)
     source = silver_stream.read_bronze_stream(spark, landed, files_per_trigger=400)
-    silver_stream.stream_silver(
-        source, f"{root}/silver", f"{root}/quarantine", f"{root}/staging", f"{root}/c", once=True
-    ).awaitTermination()
+    silver_stream.stream_silver(source, f"{root}/silver", f"{root}/c", once=True).awaitTermination()
     return silver_plan.read_silver(spark, f"{root}/silver")
 
 
@@ -675,9 +684,9 @@ def stream_rolling(spark, folder):
     )
     windows = rolling.stream_rolling(readings, slide=None, drop_copies=False)
     rolling.stream_rolling_table(
-        windows, f"{root}/windows", f"{root}/staging", f"{root}/c", once=True
+        windows, f"{root}/windows", f"{root}/c", once=True
     ).awaitTermination()
-    return spark.read.schema(windows.schema).parquet(f"{root}/windows")
+    return rolling.read_windows(spark, f"{root}/windows")
 
 
 @query
@@ -687,9 +696,7 @@ def stream_state(spark, folder):
     readings = rolling.typed_stream(
         silver_stream.read_bronze_stream(spark, landed, files_per_trigger=400)
     )
-    rolling.stream_state(
-        readings, f"{root}/state", f"{root}/staging", f"{root}/c", once=True
-    ).awaitTermination()
+    rolling.stream_state(readings, f"{root}/state", f"{root}/c", once=True).awaitTermination()
     return rolling.read_state(spark, f"{root}/state")
 
 

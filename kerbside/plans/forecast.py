@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kerbside.operators.features import build_features
 from kerbside.operators.forecast import save_model, train
+from kerbside.plans.gold import FACT, read_marts
 from kerbside.sources.sinks import write_table
 
 FACT_COLUMNS = [
@@ -19,28 +20,29 @@ FACT_COLUMNS = [
 ]
 
 
-def read_fact_slice(spark: SparkSession, fact_path: str) -> DataFrame:
+def fact_slice(fact: DataFrame) -> DataFrame:
     """The six fact columns features are made of."""
-    return spark.read.parquet(fact_path).select(*FACT_COLUMNS)
+    return fact.select(*FACT_COLUMNS)
 
 
 def store_features(
-    spark: SparkSession, fact_path: str, features_path: str, **options: object
+    spark: SparkSession, gold_root: str, features_path: str, **options: object
 ) -> DataFrame:
     """Features as a table: the split and the model read them several times."""
-    write_table(build_features(read_fact_slice(spark, fact_path), **options), features_path)
-    return spark.read.parquet(features_path)
+    features = build_features(fact_slice(read_marts(spark, gold_root)[FACT]), **options)
+    write_table(features, features_path)
+    return spark.read.schema(features.schema).parquet(features_path)
 
 
 def train_from_gold(
     spark: SparkSession,
-    fact_path: str,
+    gold_root: str,
     features_path: str,
     model_path: str,
     max_iter: int = 300,
     **params: object,
 ) -> tuple[PipelineModel, DataFrame]:
-    features = store_features(spark, fact_path, features_path)
+    features = store_features(spark, gold_root, features_path)
     model, metrics = train(features, max_iter, **params)
     save_model(model, model_path)
     return model, metrics

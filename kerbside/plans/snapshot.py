@@ -16,4 +16,4 @@ def export_snapshot(
     facts = facts_with_current_sensor(marts["fact_footfall_hourly"], marts["dim_sensor"])
     document = snapshot(facts, locations or sensor_locations(spark))
     write_json(document, path)
-    return spark.read.json(path)
+    return spark.read.schema(document.schema).json(path)

@@ -34,6 +34,7 @@ BRONZE_SCHEMA = T.StructType(
 ARRIVAL_FIELDS = [T.StructField("dt", T.StringType()), T.StructField("hour", T.StringType())]
 
 CORRUPT_COLUMN = "_corrupt_record"
+SOURCE_COLUMN = "source_file"
 
 DERIVED_COLUMNS = [
     "event_ts_utc",

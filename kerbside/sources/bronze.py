@@ -16,6 +16,7 @@ from kerbside.schemas import (
     CORRUPT_COLUMN,
     PAGE_SCHEMA,
     READING_FIELDS,
+    SOURCE_COLUMN,
 )
 
 TEXT_IDENTITY = ["sensing_datetime", "sensing_date", "sensing_time"]
@@ -42,31 +43,41 @@ def read_readings(spark: SparkSession, path: str | list[str], keep_corrupt: bool
     return reader.option("columnNameOfCorruptRecord", CORRUPT_COLUMN).json(path)
 
 
+def with_source_file(bronze: DataFrame) -> DataFrame:
+    """Names the landed file of each row, by arrival partition and file name;
+    it is the same however and whenever the file is read."""
+    name = F.concat_ws("/", "dt", "hour", "_metadata.file_name")
+    return bronze.select("*", name.alias(SOURCE_COLUMN))
+
+
 def read_bronze(
     spark: SparkSession,
     root: str,
     start: str | None = None,
     end: str | None = None,
     keep_corrupt: bool = False,
+    with_source: bool = False,
 ) -> DataFrame:
     """The table partitioned by arrival ``dt`` and ``hour``.
 
     With a day range only those folders are listed, so the listing does not
     grow with the age of the table; days without a folder add no rows.
     """
+    named = with_source_file if with_source else lambda rows: rows
     schema = bronze_schema(partitioned=True, keep_corrupt=keep_corrupt)
     reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
     if start is None and end is None:
-        return reader.json(root)
+        return named(reader.json(root))
     if start is None or end is None:
         raise ValueError("give both ends of the arrival range, or neither")
     days = ",".join(arrival_days(start, end))
     try:
-        return reader.option("basePath", root).json(f"{root.rstrip('/')}/dt={{{days}}}")
+        return named(reader.option("basePath", root).json(f"{root.rstrip('/')}/dt={{{days}}}"))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        none = spark.createDataFrame([], schema)
+        return none.withColumn(SOURCE_COLUMN, F.lit("")) if with_source else none
 
 
 def on_arrival_days(bronze: DataFrame, start: str, end: str) -> DataFrame:

@@ -1,28 +1,26 @@
-"""Partitioned writers for Silver, quarantine and Gold."""
+"""Plain writers, layouts and folder helpers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def _folder(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, target = _folder(spark, path)
-    return files.exists(target)
-
-
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Did the job that wrote this folder commit?"""
-    return exists(spark, f"{path}/_SUCCESS")
+    """Is there anything to read in this folder?"""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    files, target = _folder(spark, path)
+    """Deletes a folder; Spark's own interface has no call for that."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.delete(target, True)
 
 
@@ -32,104 +30,23 @@ def gather(df: DataFrame, *partition_columns: str) -> DataFrame:
     return df.hint("rebalance", *partition_columns)
 
 
-def overwrite_partitions(df: DataFrame, path: str, *partition_columns: str) -> None:
-    """Replace exactly the partitions present in ``df``, leave the others."""
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_columns)
-        .parquet(path)
-    )
-
-
 def write_table(df: DataFrame, path: str) -> None:
     """A whole table, replaced at once."""
     df.write.mode("overwrite").parquet(path)
 
 
-def finish_staged(spark: SparkSession, path: str, staging: str, *partition_columns: str) -> bool:
-    """Complete a replacement that was staged but perhaps not carried out."""
-    if not is_complete(spark, staging):
-        return False
-    staged = spark.read.parquet(staging)
-    if partition_columns:
-        overwrite_partitions(staged, path, *partition_columns)
-    else:
-        write_table(staged, path)
-    remove(spark, staging)
-    return True
-
-
-def staged_overwrite(df: DataFrame, path: str, staging: str, *partition_columns: str) -> None:
-    """Replace stored rows by rows computed from them, and survive a crash.
-
-    The new rows are written in full next to the table first. If the driver
-    dies while the table is being replaced, ``finish_staged`` repeats that step
-    from the staged copy; one writer per table is assumed.
-    """
-    writer = df.write.mode("overwrite")
-    if partition_columns:
-        writer = writer.partitionBy(*partition_columns)
-    writer.parquet(staging)
-    finish_staged(df.sparkSession, path, staging, *partition_columns)
-
-
-def staged_replace(df: DataFrame, path: str, staging: str, *partition_columns: str) -> None:
-    """Replace a whole partitioned table, partitions without new rows included.
-
-    The rows are complete in ``staging`` before the old table goes; they stay
-    there until the new one is complete.
-    """
-
-    def write(rows: DataFrame, target: str) -> None:
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        writer.partitionBy(*partition_columns).parquet(target)
-
-    write(df, staging)
-    spark = df.sparkSession
-    write(gather(spark.read.schema(df.schema).parquet(staging), *partition_columns), path)
-    remove(spark, staging)
-
-
-def in_silver_layout(silver: DataFrame) -> DataFrame:
+def in_silver_layout(silver: DataFrame, *before: str) -> DataFrame:
     """Rows in date, sensor, minute order, in ranges of equal size.
 
     A range holds one date or few, so few files come of each date however large
     one date or sensor is; a sensor's hour stays together, which lets the hourly
-    sums shrink sixtyfold before their shuffle and readers skip by sensor.
+    sums shrink sixtyfold before their shuffle and readers skip by sensor. The
+    key comes last: it splits ranges where all else is alike.
     """
-    order = ["event_date", "location_id", "event_ts_utc"]
+    order = [*before, "location_id", "event_ts_utc", "dedupe_key"]
     return silver.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def with_load_id(quarantined: DataFrame, load_id: Column | None = None) -> DataFrame:
-    """Name the load a quarantined row came with: its arrival hour by default.
-
-    Bronze never changes, so a repeated load rewrites the same partitions and
-    adds nothing twice.
-    """
-    if load_id is None:
-        arrives = {"dt", "hour"} <= set(quarantined.columns)
-        load_id = F.concat_ws("-", "dt", "hour") if arrives else F.lit("all")
-    return quarantined.withColumn("load_id", load_id)
-
-
-QUARANTINE_PARTS = ["sensing_date", "load_id"]
-
-
-def in_quarantine_layout(quarantined: DataFrame, load_id: Column | None = None) -> DataFrame:
-    return gather(with_load_id(quarantined, load_id), *QUARANTINE_PARTS)
-
-
-def write_quarantine(quarantined: DataFrame, path: str, load_id: Column | None = None) -> None:
-    overwrite_partitions(in_quarantine_layout(quarantined, load_id), path, *QUARANTINE_PARTS)
-
-
-def write_fact(fact: DataFrame, path: str) -> None:
-    """The hourly fact, replaced whole and laid out by date so readers prune."""
-    gather(fact, "date_key").write.mode("overwrite").partitionBy("date_key").parquet(path)
-
-
 def register_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kerbside.operators.incremental import current_state, rolling_counts
@@ -13,7 +14,8 @@ from kerbside.operators.silver import (
     select_silver_columns,
     split_valid_and_quarantine,
 )
-from kerbside.sources.sinks import exists, finish_staged, staged_overwrite
+from kerbside.sources import versions
+from kerbside.sources.versions import PART
 
 
 def typed_stream(bronze: DataFrame) -> DataFrame:
@@ -42,27 +44,33 @@ def stream_rolling(
     return rolling_counts(timed, length, slide)
 
 
+WINDOWS, STATE = "windows", "state"
+
+
+def window_day() -> Column:
+    return F.to_date("window_start")
+
+
 def stream_rolling_table(
-    windows: DataFrame, path: str, staging: str, checkpoint: str, once: bool = False
+    windows: DataFrame, root: str, checkpoint: str, once: bool = False, final: bool = False
 ) -> StreamingQuery:
-    """Upkeep of a table of windows: a batch replaces those it has changed.
+    """Upkeep of a table of windows, in parts by the day a window begins.
 
-    Windows before the watermark leave the state and stay in the table.
+    A batch replaces the windows it has changed and rewrites the parts of their
+    days alone; days behind the watermark keep their files. With ``final`` only
+    closed windows come, each of them once. A replayed batch changes nothing.
     """
     key = ["location_id", "window_start"]
 
+    def combine(new: DataFrame, stored: DataFrame) -> DataFrame:
+        return stored.join(new.select(*key), key, "left_anti").unionByName(new)
+
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        finish_staged(spark, path, staging)
-        merged = batch
-        if exists(spark, path):
-            stored = spark.read.schema(batch.schema).parquet(path)
-            merged = stored.join(batch.select(*key), key, "left_anti").unionByName(batch)
-        staged_overwrite(merged, path, staging)
+        versions.merge(batch, root, WINDOWS, window_day(), combine)
 
     trigger = {"availableNow": True} if once else {"processingTime": "5 minutes"}
     return (
-        windows.writeStream.outputMode("update")
+        windows.writeStream.outputMode("append" if final else "update")
         .foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
@@ -70,22 +78,32 @@ def stream_rolling_table(
     )
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_windows(spark: SparkSession, root: str) -> DataFrame:
+    return versions.read(spark, root, WINDOWS).drop(PART)
+
+
+def state_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("location_id"), F.lit(buckets)).cast("int")
+
+
+def read_state(spark: SparkSession, root: str) -> DataFrame:
+    return versions.read(spark, root, STATE).drop(PART)
 
 
 def stream_state(
-    readings: DataFrame, path: str, staging: str, checkpoint: str, once: bool = False
+    readings: DataFrame, root: str, checkpoint: str, once: bool = False, buckets: int = 64
 ) -> StreamingQuery:
-    """Upkeep of a one-row-per-sensor table of latest readings."""
+    """Upkeep of a one-row-per-sensor table of latest readings.
+
+    The table lies in hash buckets of sensors; a batch rewrites the buckets of
+    the sensors it brings news of. The number of buckets must not change later.
+    """
+
+    def combine(new: DataFrame, stored: DataFrame) -> DataFrame:
+        return current_state(new.unionByName(stored))
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        finish_staged(spark, path, staging)
-        latest = current_state(batch)
-        if exists(spark, path):
-            latest = current_state(latest.unionByName(read_state(spark, path)))
-        staged_overwrite(latest, path, staging)
+        versions.merge(current_state(batch), root, STATE, state_bucket(buckets), combine)
 
     trigger = {"availableNow": True} if once else {"processingTime": "60 seconds"}
     return (

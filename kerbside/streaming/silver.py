@@ -1,32 +1,29 @@
-"""Streaming Silver: micro-batches merged into the event-date partitions."""
+"""Streaming Silver: micro-batches merged into the event-date parts."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kerbside.operators.silver import transform
-from kerbside.plans.silver import upsert_silver
-from kerbside.sources.bronze import bronze_schema
-from kerbside.sources.sinks import write_quarantine
+from kerbside.plans.silver import upsert
+from kerbside.schemas import CORRUPT_COLUMN
+from kerbside.sources.bronze import bronze_schema, with_source_file
 
 
 def read_bronze_stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
-    return (
-        spark.readStream.schema(bronze_schema(partitioned=True))
+    """Landed files as they come, with the text of malformed lines and the file
+    of each row, as the batch reader gives them."""
+    reader = (
+        spark.readStream.schema(bronze_schema(partitioned=True, keep_corrupt=True))
+        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .json(root)
     )
+    return with_source_file(reader.json(root))
 
 
 def stream_silver(
     bronze: DataFrame,
-    silver_path: str,
-    quarantine_path: str,
-    staging: str,
+    root: str,
     checkpoint: str,
     once: bool = False,
     every: str = "1 hour",
@@ -34,17 +31,13 @@ def stream_silver(
     """Keep the latest copy of each reading, whichever batch brings it.
 
     A batch rewrites the dates it touches, today's above all, so batches should
-    be few and large: hourly unless told otherwise.
-    A replayed batch changes nothing: merging is idempotent and the batch's
-    quarantine partition, named after checkpoint and batch, is replaced.
+    be few and large: hourly unless told otherwise. A replayed batch changes
+    nothing, and rows that a batch job has quarantined before are replaced, since
+    both know them by the file they came in.
     """
-    stream_id = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        silver, quarantined = transform(batch)
-        upsert_silver(batch.sparkSession, silver, silver_path, staging)
-        if not quarantined.isEmpty():
-            write_quarantine(quarantined, quarantine_path, F.lit(f"{stream_id}-{batch_id}"))
+    def merge(batch: DataFrame, _: int) -> None:
+        upsert(batch.sparkSession, batch, root)
 
     trigger = {"availableNow": True} if once else {"processingTime": every}
     return (

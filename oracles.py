@@ -613,6 +613,16 @@ def all_sql() -> dict[str, str]:
         "dim_sensor": chain("SELECT * FROM sensors", "sensors"),
         "fact_hourly": chain(fact, "fact"),
         "gold_published": chain(fact, "fact"),
+        "marts_by_name": chain(
+            """
+            SELECT location_id, isodow(date_key) IN (6, 7) AS is_weekend, count(*) AS hours,
+                CAST(sum(pedestrian_count) AS BIGINT) AS pedestrians
+            FROM fact JOIN sensors USING (sensor_key)
+            GROUP BY 1, 2
+            """,
+            "fact",
+            "sensors",
+        ),
         "scd2_versions": chain("SELECT * FROM versions", "versions"),
         "scd2_merged": chain("SELECT * FROM versions", "versions"),
         "scd2_merged_late": chain("SELECT * FROM versions", "versions"),
