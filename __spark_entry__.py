@@ -201,6 +201,15 @@ def page_skips(spark, folder):
     return bronze_source.parse_pages(pages)[1]
 
 
+@query
+def page_coercion(spark, folder):
+    """Counts that come as every kind of JSON value."""
+    pages = event_feed.pages_of_all_kinds(_events(spark, folder))
+    return bronze_source.parse_pages(pages)[0].select(
+        "location_id", "sensing_datetime", "direction_1", "direction_2"
+    )
+
+
 @query
 def stream_records(spark, folder):
     """Readings with key and ingestion time, as JSON lines keyed by sensor."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,6 +119,61 @@ def whole_number(text: Column | str) -> Column:
     return F.trim(_col(text)).try_cast("double").try_cast("int")
 
 
+# --- JSON values --------------------------------------------------------------
+
+# White space around a quoted number, and decimal digits beyond ASCII with the
+# digit each stands for.
+_BLANK = r"[\s\x0B\x85\p{Z}]+"
+_DIGITS = {
+    chr(c): str(unicodedata.decimal(chr(c)))
+    for c in range(0x80, 0x110000)
+    if unicodedata.decimal(chr(c), None) is not None
+}
+
+
+def _text_as_whole(text: Column) -> Column:
+    """Digits with an optional sign, blanks around and single underscores between
+    them; no point and no exponent."""
+    ascii_only = F.when(
+        text.rlike(r"[^\x00-\x7F]"), F.translate(text, "".join(_DIGITS), "".join(_DIGITS.values()))
+    ).otherwise(text)
+    bare = F.regexp_replace(ascii_only, f"^{_BLANK}|{_BLANK}$", "")
+    digits = F.when(bare.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(bare, F.lit("_"), F.lit("")))
+    return digits.try_cast("int")
+
+
+def whole_value(value: Column) -> Column:
+    """A JSON value (a variant) as an int; NULL where it is none.
+
+    Numbers are truncated toward zero and booleans count 1 and 0, but text must
+    be a whole number as it stands: 3.7 is 3, "3" is 3, "3.7" is nothing. Nor are
+    null, lists and objects, and numbers beyond 32 bits.
+    """
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(kind == "STRING", _text_as_whole(F.try_variant_get(value, "$", "string")))
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int"))
+        .when(
+            kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
+            F.try_variant_get(value, "$", "double").try_cast("int"),
+        )
+    )
+
+
+def is_empty_value(value: Column) -> Column:
+    """Absent, null, false, or text, list or object without content."""
+    kind = F.schema_of_variant(value)
+    hollow = F.to_json(value).isin("null", "false", '""', "[]", "{}")
+    return value.isNull() | (kind == "VOID") | F.coalesce(hollow, F.lit(False))
+
+
+def text_value(value: Column) -> Column:
+    """A JSON value as text: strings as they are, null as NULL, others as JSON."""
+    return F.when(
+        F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")
+    ).when(~F.is_variant_null(value), F.to_json(value))
+
+
 def truncated_mean(mean: Column) -> Column:
     """Mean as a whole number, 0 where there is nothing to average."""
     return F.coalesce(mean, F.lit(0.0)).cast("int")

@@ -65,12 +65,6 @@ SILVER_SCHEMA = T.StructType(
 
 SILVER_COLUMNS = SILVER_SCHEMA.fieldNames()
 
-# A page is kept as maps of text so that a missing key and a null value can be
-# told apart, and so that numbers may arrive quoted.
-PAGE_SCHEMA = T.StructType(
-    [T.StructField("results", T.ArrayType(T.MapType(T.StringType(), T.StringType())))]
-)
-
 # The lags and windows the features are named after.
 LAG_HOURS = [1, 2, 3, 24]
 ROLLING_WINDOWS = [3, 6]

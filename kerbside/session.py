@@ -25,8 +25,10 @@ def build_session(app_name: str, **conf: str) -> SparkSession:
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
-    """Parse and print timestamps in UTC whatever zone the host is in."""
+    """Timestamps in UTC whatever zone the host is in, and JSON read in full."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Of a key that a JSON object repeats the last value counts.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
 

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.functions.columns import iso_text, natural_key, whole_number
+from kerbside.functions.columns import (
+    is_empty_value,
+    iso_text,
+    natural_key,
+    text_value,
+    whole_value,
+)
 from kerbside.schemas import (
     ARRIVAL_FIELDS,
     BRONZE_SCHEMA,
     CORRUPT_COLUMN,
-    PAGE_SCHEMA,
     READING_FIELDS,
     SOURCE_COLUMN,
 )
@@ -95,35 +101,39 @@ def on_arrival_day(bronze: DataFrame, as_of: str | date | Column) -> DataFrame:
 
 
 def explode_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per record of each page; pages without ``results`` give none."""
-    parsed = F.from_json(F.col(payload), PAGE_SCHEMA)
-    return pages.select(F.explode(parsed["results"]).alias("record"))
-
-
-def _count_text(name: str) -> Column:
-    """A count's text, where absent, null, empty and false all mean zero."""
-    text = F.col("record")[name]
-    return F.when(text.isNull() | text.isin("", "false"), F.lit("0")).otherwise(text)
+    """One row per record of each page, its values as they came, numbers apart
+    from text and from booleans. Pages without a list of results give none."""
+    page = F.try_parse_json(payload)
+    records = F.try_variant_get(page, "$.results", "array<variant>")
+    return pages.select(F.explode(records).alias("record"))
 
 
 def coerce_records(records: DataFrame) -> DataFrame:
     """Typed reading columns plus ``is_malformed`` per exploded record.
 
-    Identity keys must be present and the id and counts must be numbers. A text
-    field that is present but null stays NULL, which Silver quarantines.
+    Identity keys must be present and the id and counts must be whole numbers as
+    :func:`whole_value` reads them. A count that is absent, null or empty is 0. A
+    text field that is present but null stays NULL, which Silver quarantines.
     """
-    typed = records.select(
-        "record",
-        whole_number(F.col("record")["location_id"]).alias("location_id"),
-        *[F.col("record")[name].alias(name) for name in TEXT_IDENTITY],
-        *[whole_number(_count_text(name)).alias(name) for name in COUNT_FIELDS],
+
+    def field(name: str) -> Column:
+        return F.try_variant_get("record", f"$.{name}", "variant")
+
+    present = records.select(*[field(name).alias(name) for name in READING_FIELDS])
+    counts = [
+        F.when(is_empty_value(F.col(name)), F.lit(0)).otherwise(whole_value(F.col(name))).alias(name)
+        for name in COUNT_FIELDS
+    ]
+    has_texts = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in TEXT_IDENTITY])
+    typed = present.select(
+        whole_value(F.col("location_id")).alias("location_id"),
+        *[text_value(F.col(name)).alias(name) for name in TEXT_IDENTITY],
+        *counts,
+        has_texts.alias("has_texts"),
     )
-    malformed = F.col("location_id").isNull()
-    for name in TEXT_IDENTITY:
-        malformed = malformed | ~F.map_contains_key("record", name)
-    for name in COUNT_FIELDS:
-        malformed = malformed | F.col(name).isNull()
-    return typed.withColumn("is_malformed", F.coalesce(malformed, F.lit(True))).drop("record")
+    numbers = [F.col(name).isNotNull() for name in ("location_id", *COUNT_FIELDS)]
+    sound = reduce(lambda a, b: a & b, numbers, F.col("has_texts"))
+    return typed.withColumn("is_malformed", ~sound).drop("has_texts")
 
 
 def parse_pages(pages: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:

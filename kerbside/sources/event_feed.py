@@ -113,3 +113,24 @@ def attribute_feed(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("observed_ts"),
         F.col("event_type").alias("status"),
     )
+
+
+# JSON values a count may come as; SQL states what becomes of each.
+COUNT_VALUES = [
+    "5", "3.7", "-3.7", '"4"', '" +4 "', '"3.7"', "true", "false", "null", '""', "[]", "{}", "[1]",
+    '"1_0"', "1e2", '"1e2"', "99999999999", '"\uff13"',
+]
+
+
+def pages_of_all_kinds(events: DataFrame) -> DataFrame:
+    """A page an event, its first count one of every kind of JSON value in turn."""
+    kinds = F.array(*[F.lit(v) for v in COUNT_VALUES])
+    value = F.element_at(kinds, (F.pmod("event_id", F.lit(len(COUNT_VALUES))) + 1).cast("int"))
+    payload = F.format_string(
+        '{"results": [{"location_id": %s, "sensing_datetime": "%s", "sensing_date": "", '
+        '"sensing_time": "", "direction_1": %s}, "no record"]}',
+        F.col("event_id").cast("string"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+        value,
+    )
+    return events.select(payload.alias("payload"))

@@ -520,6 +520,14 @@ def all_sql() -> dict[str, str]:
             """,
             "page_records",
         ),
+        "page_coercion": """
+            SELECT CAST(event_id AS INTEGER) AS location_id,
+                strftime(ts, '%Y-%m-%dT%H:%M:%S') AS sensing_datetime,
+                CAST(direction_1 AS INTEGER) AS direction_1, 0 AS direction_2
+            FROM (SELECT *, [5, 3, -3, 4, 4, NULL, 1, 0, 0, 0, 0, 0, NULL, 10, 100, NULL, NULL,
+                    3][event_id % 18 + 1] AS direction_1 FROM events)
+            WHERE direction_1 IS NOT NULL
+        """,
         "page_skips": chain(
             """
             SELECT count(*) AS records, count(*) FILTER (malformed) AS skipped FROM page_records

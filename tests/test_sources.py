@@ -58,6 +58,50 @@ class TestPages:
         rows, counts = parsed(pages(payload))
         assert rows == [] and counts == {"records": 0, "skipped": 0}
 
+    def test_whole_numbers_of_every_json_kind(self, pages):
+        """The id and the counts are what ``int`` makes of a value, and of a falsy
+        count's 0, or the record is skipped."""
+        values = [
+            5, -7, 0, 3.7, -3.7, 0.0, 1e2, 2147483647, -2147483648, True, False, None, [], {}, [1],
+            {"a": 1}, "", " ", "5", " 5\t", "+5", "-5", "5.0", "3.7", "1e2", "0x5", "1_000", "1__0",
+            "_1", "1_", "five", "true", "\u0665", "\uff11\uff12", "\u00a05\u2003", "\x1f5", "5 5",
+            "0005", "--5", "5\u0301", "\ufeff5", "null", "None",
+        ]
+
+        def whole(value):
+            try:
+                return int(value)
+            except (TypeError, ValueError):
+                return None
+
+        for field, want in (
+            ("location_id", [whole(v) for v in values]),
+            ("direction_1", [whole(v or 0) for v in values]),
+        ):
+            found = source.coerce_records(
+                source.explode_pages(pages(*[{"results": [{**API_FIELDS, field: v}]} for v in values]))
+            ).collect()
+            got = [None if r.is_malformed else r[field] for r in found]
+            assert dict(zip(map(repr, values), got)) == dict(zip(map(repr, values), want))
+
+    def test_numbers_beyond_an_int_skip_the_record(self, pages):
+        rows, counts = parsed(pages({"results": [{**API_FIELDS, "direction_1": v}
+                                                 for v in (2**31, 1e300, "99999999999")]}))
+        assert rows == [] and counts["skipped"] == 3
+
+    def test_odd_records_and_texts(self, pages):
+        odd = {**API_FIELDS, "sensing_date": 20260311, "sensing_time": None}
+        rows, counts = parsed(pages({"results": [odd, "text", 5, None, [], API_FIELDS]}))
+        assert counts == {"records": 6, "skipped": 4}
+        assert [(r["sensing_date"], r["sensing_time"]) for r in rows] == [
+            ("20260311", None), (API_FIELDS["sensing_date"], API_FIELDS["sensing_time"]),
+        ]
+
+    def test_of_a_repeated_key_the_last_value_counts(self, pages):
+        record = json.dumps(API_FIELDS)[:-1] + ', "direction_1": 99}'
+        rows, _ = parsed(pages('{"results": [' + record + "]}"))
+        assert [r["direction_1"] for r in rows] == [99]
+
     def test_records_carry_key_and_ingestion_time(self, pages):
         readings, _ = source.parse_pages(pages({"results": [API_FIELDS]}))
         at = F.lit("2026-03-11 03:00:00").cast("timestamp")
