@@ -641,6 +641,24 @@ def poll_summary(spark, folder):
     )
 
 
+@query
+def poll_pages(spark, folder):
+    """What polls of a capped page each land from a stored mark on, in any number,
+    and once more after the last: every reading newer than the mark, once."""
+    root = _work_folder(spark)
+    mark = spark.sql(f"SELECT timestamp '{AS_OF_TIME}'").first()[0]
+    poll_plan.write_mark(spark, f"{root}/mark", mark, 0)
+    readings = _stored(_bronze(spark, folder))
+    cap = readings.count() // 5 + 1
+
+    def sink(df):
+        df.write.mode("append").json(f"{root}/landed")
+
+    poll_plan.land_pages(spark, readings, f"{root}/mark", sink, cap)
+    poll_plan.land_pages(spark, readings, f"{root}/mark", sink, cap)
+    return bronze_source.read_readings(spark, f"{root}/landed").drop("ingested_at")
+
+
 @query
 def current_state(spark, folder):
     return incremental.current_state(_silver(spark, folder))

@@ -890,6 +890,16 @@ def all_sql() -> dict[str, str]:
             """,
             "event_times",
         ),
+        "poll_pages": chain(
+            """
+            SELECT location_id, sensing_datetime, sensing_date, sensing_time, direction_1,
+                direction_2, total_of_directions,
+                CAST(location_id AS VARCHAR) || '#' || sensing_datetime AS dedupe_key
+            FROM event_times
+            WHERE event_ts_utc IS NULL OR event_ts_utc > TIMESTAMP '2024-01-15 12:00:00'
+            """,
+            "event_times",
+        ),
         "current_state": chain(newest_state, "silver"),
         "stream_state": chain(newest_state, "silver"),
         "rolling_hourly_batch": chain(_windows(5), "silver"),

@@ -210,3 +210,39 @@ class TestMark:
             lambda df: df.write.json(out),
         )
         assert source.read_readings(spark, out).count() == 2
+
+    @pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+    def test_pages_of_any_size_land_each_reading_once(self, spark, bronze, tmp_path, size):
+        """Ties in time, copies of one reading and unreadable times, over a cut."""
+        at = "2026-03-11T0{}:00:00+00:00".format
+        rows = [reading(location_id=k, sensing_datetime=at(h)) for h in (1, 2) for k in (3, 1, 2)]
+        rows += [reading(location_id=None, sensing_datetime=at(2))]
+        rows += [rows[1], rows[1]]
+        rows += [reading(location_id=k, sensing_datetime="never") for k in (5, 6)]
+        mark, out = str(tmp_path / "mark"), str(tmp_path / "out")
+
+        def sink(df):
+            df.write.mode("append").json(out)
+
+        pages = poll.land_pages(spark, bronze(*rows), mark, sink, size)
+        assert sum(p["emitted"] for p in pages) == len(rows)
+        assert all(p["new"] <= size + 2 for p in pages)
+        later = [reading(location_id=9, sensing_datetime=at(3)), reading(sensing_datetime="soon")]
+        poll.land_pages(spark, bronze(*rows, *later), mark, sink, size)
+        assert poll.land_new(spark, bronze(*rows, *later), mark, sink)["status"] == "no_new_data"
+        landed = source.read_readings(spark, out)
+        got = sorted((r.location_id or 0, r.sensing_datetime) for r in landed.collect())
+        assert got == sorted((r["location_id"] or 0, r["sensing_datetime"]) for r in rows + later)
+
+    def test_a_sink_that_runs_no_job_does_not_hang(self, spark, bronze, tmp_path):
+        got = poll.land_new(spark, bronze(reading()), str(tmp_path / "mark"), lambda df: 1)
+        assert (got["status"], got["failed"]) == ("partial_failure", 1)
+        assert poll.read_mark(spark, str(tmp_path / "mark")) == poll.EPOCH
+
+    def test_a_refused_page_is_offered_again(self, spark, bronze, tmp_path):
+        rows = bronze(*[reading(location_id=k, sensing_datetime="never") for k in (1, 2, 3)])
+        mark, out = str(tmp_path / "mark"), str(tmp_path / "out")
+        poll.land_new(spark, rows, mark, lambda df: 1, max_records=2)
+        done = poll.land_pages(spark, rows, mark, lambda df: df.write.mode("append").json(out), 2)
+        assert [p["new"] for p in done] == [2, 1]
+        assert source.read_readings(spark, out).count() == 3
