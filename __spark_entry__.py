@@ -28,6 +28,7 @@ from kerbside.operators import (  # noqa: E402
 )
 from kerbside.plans import gold as gold_plan  # noqa: E402
 from kerbside.plans import poll as poll_plan  # noqa: E402
+from kerbside.plans import scd2 as scd2_plan  # noqa: E402
 from kerbside.plans import silver as silver_plan  # noqa: E402
 from kerbside.session import ensure_checkpoint_dir, pin_utc  # noqa: E402
 from kerbside.sources import bronze as bronze_source  # noqa: E402
@@ -383,6 +384,16 @@ def scd2_merged_late(spark, folder):
     return scd2.merge_versions(scd2.build_versions(seen, ["status"]), seen, late, ["status"])
 
 
+@query
+def scd2_log(spark, folder):
+    """Versions kept up from a feed that comes in two loads, out of order."""
+    feed = event_feed.attribute_feed(_events(spark, folder))
+    root, half = _work_folder(spark), F.pmod(F.xxhash64("observed_ts"), F.lit(2))
+    for k in range(2):
+        scd2_plan.add_observations(spark, root, feed.filter(half == k), ["status"])
+    return scd2_plan.read_versions(spark, root, ["status"])
+
+
 @query
 def scd2_point_in_time(spark, folder):
     """Readings with the sensor's status at their minute."""

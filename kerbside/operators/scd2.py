@@ -52,6 +52,15 @@ def build_versions(
         ~F.col("state").eqNullSafe(F.coalesce("previous", "state_before"))
     ).select(key, CHUNK, "valid_from", "state")
 
+    return close_versions(starts, attributes, key, chunk)
+
+
+def close_versions(
+    starts: DataFrame, attributes: list[str], key: str = "location_id", chunk: str = "hour"
+) -> DataFrame:
+    """Versions from their beginnings (``valid_from``, ``state``): each one ends
+    where the next of its key begins."""
+    starts = with_chunk(starts, "valid_from", chunk)
     # First start after each chunk, to close the chunk's last version with.
     first = summarise(starts, [key], first=F.min("valid_from"))
     after = neighbours(first, [key], start_after=F.lead("first").over(chunk_order([key])))

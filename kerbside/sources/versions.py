@@ -67,14 +67,19 @@ def _folder(root: str, load: str, name: str) -> str:
 
 
 def read(
-    spark: SparkSession, root: str, name: str, parts: Iterable[str] | None = None
+    spark: SparkSession,
+    root: str,
+    name: str,
+    parts: Iterable[str] | None = None,
+    resolved: list[Row] | None = None,
 ) -> DataFrame:
     """A table as its newest commit left it, the part as its last column.
 
     Only folders of live parts are listed, with ``parts`` only those among them.
-    The schema is the committed one; nothing is inferred.
+    The schema is the committed one; nothing is inferred. ``resolved`` is what
+    :func:`live` has returned, for jobs that read several times.
     """
-    rows = [r for r in live(spark, root) if r.name == name]
+    rows = [r for r in resolved or live(spark, root) if r.name == name]
     if not rows:
         raise ValueError(f"no version of {name} in {root}")
     schema = T.StructType.fromDDL(rows[0]["columns"])

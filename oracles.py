@@ -634,6 +634,7 @@ def all_sql() -> dict[str, str]:
         "scd2_versions": chain("SELECT * FROM versions", "versions"),
         "scd2_merged": chain("SELECT * FROM versions", "versions"),
         "scd2_merged_late": chain("SELECT * FROM versions", "versions"),
+        "scd2_log": chain("SELECT * FROM versions", "versions"),
         "scd2_point_in_time": chain(
             """
             SELECT s.location_id, s.event_ts_utc, s.dedupe_key, s.total_of_directions,

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside.operators import gold, quality, scd2, silver
+from kerbside.plans import scd2 as scd2_plan
+from kerbside.sources import versions
 from tests.conftest import reading
 
 
@@ -270,3 +272,74 @@ class TestQuality:
         assert state("2026-03-11 02:40:00", "2026-03-11 05:00:00") == (False, None, False)
         assert state("2026-03-11 02:00:00", "2026-03-11 02:55:00") == (True, 900, False)
         assert state("2026-03-11 02:00:00", "2026-03-11 02:55:01") == (True, 901, True)
+
+
+class TestVersionLog:
+    """Versions kept up in a root: any order of arrival, near days only."""
+
+    def feed(self, spark, rows):
+        return spark.createDataFrame(
+            [(k, datetime(2026, 3, d, h), s) for k, d, h, s in rows],
+            "location_id int, observed_ts timestamp, status string",
+        )
+
+    def seen(self, df):
+        return sorted(str(tuple(r[c] for c in sorted(df.columns))) for r in df.collect())
+
+    def check(self, spark, root, rows):
+        want = scd2.build_versions(self.feed(spark, rows), ["status"])
+        got = scd2_plan.read_versions(spark, root, ["status"])
+        assert self.seen(got) == self.seen(want)
+
+    def test_any_order_equals_building_anew(self, spark, tmp_path):
+        draw, root, so_far = random.Random(4), str(tmp_path / "log"), []
+        rows = [
+            (k, draw.choice([1, 2, 3, 9, 10, 28]), draw.randrange(24), draw.choice("ab"))
+            for k in (1, 2, 3, 4)
+            for _ in range(14)
+        ]
+        draw.shuffle(rows)
+        rows += [(1, 2, 5, None), rows[0], (5, 20, 1, "a")]
+        for at in range(0, len(rows), 20):
+            so_far += rows[at : at + 20]
+            scd2_plan.add_observations(
+                spark, root, self.feed(spark, rows[at : at + 20]), ["status"]
+            )
+            self.check(spark, root, so_far)
+
+    def test_a_late_row_splits_and_mends(self, spark, tmp_path):
+        """Within a run, at the edge of a day, before the first and after the last
+        observation, and on a day between; a load repeated changes nothing."""
+        root = str(tmp_path / "log")
+        rows = [(1, d, h, "open") for d in (5, 6, 12) for h in (0, 23)]
+        late = [(1, 6, 12, "shut"), (1, 12, 0, "open"), (1, 8, 3, "shut"), (1, 1, 0, "shut"),
+                (1, 28, 0, "open"), (1, 8, 3, "open")]
+        scd2_plan.add_observations(spark, root, self.feed(spark, rows), ["status"])
+        for row in (late[0], late[2], late[3]):
+            rows.append(row)
+            scd2_plan.add_observations(spark, root, self.feed(spark, [row]), ["status"])
+            self.check(spark, root, rows)
+        scd2_plan.add_observations(spark, root, self.feed(spark, [late[2]]), ["status"])
+        rest = self.feed(spark, [*late, late[0]]).withColumn("extra", F.lit(1))
+        scd2_plan.add_observations(spark, root, rest, ["status"])
+        self.check(spark, root, rows + late)
+        nothing = [(None, 1, 0, "open")]
+        scd2_plan.add_observations(spark, root, self.feed(spark, nothing), ["status"])
+        self.check(spark, root, rows + late)
+
+    def test_a_load_reads_days_near_its_rows(self, spark, tmp_path, monkeypatch):
+        root, asked = str(tmp_path / "log"), set()
+        rows = [(k, d, 12, "open") for k in (1, 2) for d in range(1, 29)]
+        scd2_plan.add_observations(spark, root, self.feed(spark, rows), ["status"])
+        read = versions.read
+
+        def watched(spark, root, name, parts=None, resolved=None):
+            if name != scd2_plan.SPANS:
+                asked.update(parts)
+            return read(spark, root, name, parts, resolved)
+
+        monkeypatch.setattr(versions, "read", watched)
+        scd2_plan.add_observations(spark, root, self.feed(spark, [(1, 15, 18, "shut")]), ["status"])
+        assert asked == {"2026-03-14", "2026-03-15", "2026-03-16"}
+        monkeypatch.undo()
+        self.check(spark, root, [*rows, (1, 15, 18, "shut")])
