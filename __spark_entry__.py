@@ -693,10 +693,10 @@ def stream_landing(spark, folder):
     cut = F.when(F.col("value").contains("not-a-time"), F.expr("left(value, 20)"))
     lines.select(F.coalesce(cut, "value").alias("value")).write.text(f"{root}/lines")
     source = landing.read_lines(spark, f"{root}/lines")
-    landing.land_bronze(source, f"{root}/bronze", f"{root}/c1", once=True).awaitTermination()
-    landing.land_errors(source, f"{root}/errors", f"{root}/c2", once=True).awaitTermination()
-    landed = bronze_source.read_bronze(spark, f"{root}/bronze").drop("dt", "hour")
-    errors = spark.read.schema("value string").json(f"{root}/errors")
+    landing.land(source, f"{root}/landed", f"{root}/c", once=True).awaitTermination()
+    bronze = landing.bronze_folder(f"{root}/landed")
+    landed = bronze_source.read_bronze(spark, bronze).drop("dt", "hour")
+    errors = landing.read_errors(spark, f"{root}/landed")
     return landed.agg(
         F.count("*").alias("landed_rows"),
         F.countDistinct("dedupe_key").alias("landed_keys"),

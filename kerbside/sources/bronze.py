@@ -69,7 +69,11 @@ def read_bronze(
     With a day range only those folders are listed, so the listing does not
     grow with the age of the table; days without a folder add no rows.
     """
-    named = with_source_file if with_source else lambda rows: rows
+    def named(rows: DataFrame) -> DataFrame:
+        # Landing adds a folder a batch below the hour; it is no column of Bronze.
+        rows = with_source_file(rows) if with_source else rows
+        return rows.drop("batch")
+
     schema = bronze_schema(partitioned=True, keep_corrupt=keep_corrupt)
     reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
     if start is None and end is None:

@@ -10,6 +10,7 @@ from kerbside.schemas import BRONZE_SCHEMA, CORRUPT_COLUMN
 from kerbside.sources.bronze import bronze_schema
 
 FLUSH = "60 seconds"
+BRONZE, MALFORMED = "bronze", "malformed_json"
 
 
 def read_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -57,43 +58,58 @@ def arrival_partitions() -> list[Column]:
     ]
 
 
-def readable(parsed: DataFrame) -> DataFrame:
-    fields = [F.col(f"reading.{name}").alias(name) for name in BRONZE_SCHEMA.fieldNames()]
-    return parsed.filter(is_readable()).select(*fields, *arrival_partitions())
+def sink_lines(parsed: DataFrame) -> DataFrame:
+    """A line of text for each record and the sink it goes to: ``bronze``, or an
+    error type with the text that could not be read."""
+    reading = F.struct(*[F.col(f"reading.{name}").alias(name) for name in BRONZE_SCHEMA.fieldNames()])
+    error = F.struct("value", F.lit(MALFORMED).alias("error_type"))
+    return parsed.select(
+        F.when(is_readable(), F.to_json(reading)).otherwise(F.to_json(error)).alias("line"),
+        F.when(is_readable(), BRONZE).otherwise(MALFORMED).alias("sink"),
+        *arrival_partitions(),
+    )
 
 
-def dead_letters(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(~is_readable()).select(
-        "value", F.lit("malformed_json").alias("error_type"), *arrival_partitions()
+def write_batch(lines: DataFrame, batch_id: int, root: str) -> None:
+    """All sinks of a batch in one write. Its folders bear its number, so a batch
+    that is run again replaces what it left, whichever sinks it had reached."""
+    (
+        lines.withColumn("batch", F.lit(batch_id))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "gzip")
+        .partitionBy("sink", "dt", "hour", "batch")
+        .text(root)
     )
 
 
-def _start(frame: DataFrame, path: str, checkpoint: str, partitions: list[str], once: bool):
+def land(lines: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Gzip NDJSON below ``sink`` and ``dt``/``hour`` of arrival, each line once.
+
+    One query reads the source once and feeds every sink. The time of arrival is
+    the source's or the batch's, which a batch that is run again keeps. There is
+    no shuffle: a source partition's records keep their order, and a sensor that
+    sends a third of all lines is spread as the source spreads it.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, batch_id, root)
+
     trigger = {"availableNow": True} if once else {"processingTime": FLUSH}
     return (
-        frame.writeStream.format("json")
-        .option("compression", "gzip")
-        .option("path", path)
+        sink_lines(parse_lines(lines))
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .partitionBy(*partitions)
         .trigger(**trigger)
         .start()
     )
 
 
-def land_bronze(
-    lines: DataFrame, path: str, checkpoint: str, once: bool = False
-) -> StreamingQuery:
-    """Gzip NDJSON under ``dt``/``hour`` of arrival, each line exactly once.
-
-    There is no shuffle: a source partition's records keep their order, and a
-    sensor that sends a third of all lines is spread as the source spreads it.
-    """
-    return _start(readable(parse_lines(lines)), path, checkpoint, ["dt", "hour"], once)
+def bronze_folder(root: str) -> str:
+    return f"{root}/sink={BRONZE}"
 
 
-def land_errors(
-    lines: DataFrame, path: str, checkpoint: str, once: bool = False
-) -> StreamingQuery:
-    frame = dead_letters(parse_lines(lines))
-    return _start(frame, path, checkpoint, ["error_type", "dt", "hour"], once)
+def read_errors(spark: SparkSession, root: str) -> DataFrame:
+    """Lines that could not be read, with their arrival partitions."""
+    schema = "value string, error_type string, dt string, hour string, batch bigint"
+    return spark.read.schema(schema).json(f"{root}/sink={MALFORMED}")

@@ -283,21 +283,45 @@ class TestStreams:
         lines.mkdir()
         rows = [json.dumps(at(11)), "{cut", json.dumps(at(12)), ""]
         (lines / "a.txt").write_text("\n".join(rows) + "\n")
+        root = str(tmp_path / "landed")
         for _ in range(2):  # a restart lands nothing twice
             source = landing.read_lines(spark, str(lines))
-            landing.land_bronze(
-                source, str(tmp_path / "b"), str(tmp_path / "c1"), once=True
-            ).awaitTermination()
-            landing.land_errors(
-                source, str(tmp_path / "e"), str(tmp_path / "c2"), once=True
-            ).awaitTermination()
-        landed = read_bronze(spark, str(tmp_path / "b"))
+            landing.land(source, root, str(tmp_path / "c"), once=True).awaitTermination()
+        landed = read_bronze(spark, landing.bronze_folder(root), with_source=True)
         assert landed.count() == 2 and landed.filter("dt IS NULL OR hour IS NULL").count() == 0
-        files = list((tmp_path / "b").rglob("*.json.gz"))
-        assert files and all(f.parent.name.startswith("hour=") for f in files)
-        bad = {r["value"] for r in spark.read.schema("value string").json(str(tmp_path / "e")).collect()}
+        assert "batch" not in landed.columns
+        files = list((tmp_path / "landed").rglob("*.txt.gz"))
+        assert files and all(f.parent.name.startswith("batch=") for f in files)
+        bad = {r["value"] for r in landing.read_errors(spark, root).collect()}
         assert "{cut" in bad and bad <= {"{cut", "", None}
 
+    def test_a_batch_that_dies_is_landed_again_in_its_place(self, spark, tmp_path, monkeypatch):
+        """Killed with only one sink written, and with both, before it is done."""
+        lines, root = tmp_path / "lines", str(tmp_path / "landed")
+        lines.mkdir()
+        texts = [json.dumps(at(11, h)) for h in range(5)] + ["{cut", "{torn"]
+        (lines / "a.txt").write_text("\n".join(texts) + "\n")
+        write = landing.write_batch
+
+        def run():
+            source = landing.read_lines(spark, str(lines))
+            landing.land(source, root, str(tmp_path / "c"), once=True).awaitTermination()
+
+        for reached in ("sink = 'bronze'", "true"):
+            with monkeypatch.context() as patch:
+                patch.setattr(landing, "write_batch", lambda batch, n, to: (
+                    write(batch.filter(reached), n, to), failing()))
+                with pytest.raises(Exception, match="driver lost"):
+                    run()
+        (lines / "b.txt").write_text(json.dumps(at(12)) + "\n{late\n")
+        run()
+        landed = [r.sensing_datetime for r in read_bronze(spark, landing.bronze_folder(root)).collect()]
+        assert sorted(landed) == [at(11, h)["sensing_datetime"] for h in range(5)] + [
+            at(12)["sensing_datetime"]
+        ]
+        bad = sorted(r.value for r in landing.read_errors(spark, root).collect())
+        assert bad == ["{cut", "{late", "{torn"]
+
     def stream(self, spark, paths):
         silver_stream.stream_silver(
             silver_stream.read_bronze_stream(spark, paths["bronze"], files_per_trigger=1),
