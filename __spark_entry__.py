@@ -548,7 +548,8 @@ def top_bars(spark, folder):
 def snapshot(spark, folder):
     star = _star(spark, folder)
     facts = serving.facts_with_current_sensor(star["fact_footfall_hourly"], star["dim_sensor"])
-    document = serving.snapshot(_stored(facts), serving.sensor_locations(spark))
+    summary = _stored(serving.fact_summary(facts))
+    document = serving.snapshot_of_summary(summary, serving.sensor_locations(spark))
     return document.select(F.to_json(F.struct("*")).alias("document"))
 
 

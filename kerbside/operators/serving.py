@@ -122,9 +122,13 @@ def profile_slots(spark: SparkSession) -> DataFrame:
 
 
 def dense_hourly_profile(facts: DataFrame) -> DataFrame:
-    """The profile as whole numbers with 0 for hours nobody reported."""
-    slots = profile_slots(facts.sparkSession)
-    return slots.join(hourly_profile(facts), ["event_hour", "day_type"], "left").select(
+    return in_all_slots(hourly_profile(facts))
+
+
+def in_all_slots(profile: DataFrame) -> DataFrame:
+    """A profile as whole numbers with 0 for hours nobody reported."""
+    slots = profile_slots(profile.sparkSession)
+    return slots.join(profile, ["event_hour", "day_type"], "left").select(
         "event_hour", "day_type", truncated_mean(F.col("avg_count")).alias("avg_count")
     )
 
@@ -143,6 +147,11 @@ def sensor_totals(facts: DataFrame) -> DataFrame:
             F.count("pedestrian_count").alias("hour_rows"),
         )
     )
+    return totals_of_hours(by_hour)
+
+
+def totals_of_hours(by_hour: DataFrame) -> DataFrame:
+    """The same from a sensor's sums by hour of day."""
     last_hour = F.max_by(F.struct("hour_total", "hour_rows"), "event_hour")
     return (
         by_hour.groupBy("location_id")
@@ -219,19 +228,49 @@ def profile_outlook(dense: DataFrame) -> DataFrame:
     )
 
 
+def fact_summary(facts: DataFrame) -> DataFrame:
+    """Sums by sensor, hour of day and day type, at most 72 rows a sensor: all
+    that a snapshot needs to know of the facts, in one pass over them."""
+    return facts.groupBy("sensor_key", "location_id", "event_hour", "is_weekend").agg(
+        F.sum("pedestrian_count").alias("total"),
+        F.count("pedestrian_count").alias("readings"),
+        F.count("*").alias("facts"),
+    )
+
+
 def snapshot(facts: DataFrame, locations: DataFrame) -> DataFrame:
+    return snapshot_of_summary(fact_summary(facts), locations)
+
+
+def snapshot_of_summary(summary: DataFrame, locations: DataFrame) -> DataFrame:
     """One nested row with everything the page shows.
 
-    Only bounded lists are collected: the located sensors, 48 profile slots
-    and 14 outlook slots.
+    Its lists are cut from the summary, which callers store first. Only bounded
+    lists are collected: the located sensors, 48 profile slots and 14 outlook
+    slots.
     """
+    by_hour = (
+        summary.filter(F.col("location_id").isNotNull())
+        .groupBy("location_id", "event_hour")
+        .agg(F.sum("total").alias("hour_total"), F.sum("readings").alias("hour_rows"))
+    )
+    profile = (
+        summary.filter(F.col("event_hour").isNotNull() & F.col("is_weekend").isNotNull())
+        .groupBy("event_hour", day_type().alias("day_type"))
+        .agg(F.try_divide(F.sum("total"), F.sum("readings")).alias("avg_count"))
+    )
+    meta = summary.agg(
+        F.coalesce(F.sum("readings"), F.lit(0)).alias("total_readings"),
+        F.coalesce(F.sum("facts"), F.lit(0)).alias("gold_facts"),
+        F.countDistinct("sensor_key").alias("sensor_versions"),
+    )
 
     def ordered(frame: DataFrame, order: list[str], *fields: str) -> DataFrame:
         entry = F.struct(*order, *[f for f in fields if f not in order])
         return frame.agg(F.sort_array(F.collect_list(entry)).alias("entries"))
 
-    sensors = located(sensor_totals(facts), locations)
-    dense = dense_hourly_profile(facts)
+    sensors = located(totals_of_hours(by_hour), locations)
+    dense = in_all_slots(profile)
     outlook = profile_outlook(dense)
 
     sensor_list = ordered(sensors, ["location_id"], "name", "lat", "lon", "total", "current")
@@ -245,7 +284,7 @@ def snapshot(facts: DataFrame, locations: DataFrame) -> DataFrame:
     }
 
     lists = {"sensor_list": sensor_list, **profiles, **outlooks}
-    collected = snapshot_meta(facts).select(
+    collected = meta.select(
         "*", *[frame.scalar().alias(name) for name, frame in lists.items()]
     )
 

@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import incremental, silver
+from kerbside.operators import incremental, serving, silver
 from kerbside.operators.quality import QualityError, RowRule, RuleSet
 from kerbside.plans import forecast as forecast_plan
 from kerbside.plans import gold as gold_plan
@@ -213,7 +213,7 @@ class TestGoldJobs:
     def marts(self, spark, paths):
         return {n: content(m) for n, m in gold_plan.read_marts(spark, paths["gold"]).items()}
 
-    def test_gold_is_published_and_guarded(self, spark, paths, tmp_path):
+    def test_gold_is_published_and_guarded(self, spark, paths, tmp_path, capsys):
         args = (paths["silver"], paths["gold"])
         report = gold_plan.publish_gold(spark, *args)
         assert report.count() == 16
@@ -231,6 +231,12 @@ class TestGoldJobs:
 
         document = snapshot_plan.export_snapshot(spark, paths["gold"], str(tmp_path / "snap"))
         assert document.first()["meta"]["gold_facts"] == 5
+        facts = serving.facts_with_current_sensor(marts["fact_footfall_hourly"], marts["dim_sensor"])
+        whole = serving.snapshot(facts, serving.sensor_locations(spark))
+        assert whole.toJSON().first() == document.toJSON().first()
+        summary = serving.fact_summary(facts)
+        summary.explain()
+        assert capsys.readouterr().out.count("FileScan") == 2  # the fact and its dimension
         fact = gold_plan.read_marts(spark, paths["gold"])["fact_footfall_hourly"]
         assert forecast_plan.fact_slice(fact).columns == forecast_plan.FACT_COLUMNS
 
