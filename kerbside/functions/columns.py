@@ -138,33 +138,38 @@ def _text_as_whole(text: Column) -> Column:
         text.rlike(r"[^\x00-\x7F]"), F.translate(text, "".join(_DIGITS), "".join(_DIGITS.values()))
     ).otherwise(text)
     bare = F.regexp_replace(ascii_only, f"^{_BLANK}|{_BLANK}$", "")
+    plain = text.try_cast("int")
     digits = F.when(bare.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(bare, F.lit("_"), F.lit("")))
-    return digits.try_cast("int")
+    return F.when(text.rlike("^[0-9]+$"), plain).otherwise(digits.try_cast("int"))
 
 
-def whole_value(value: Column) -> Column:
-    """A JSON value (a variant) as an int; NULL where it is none.
+def value_kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def whole_value(value: Column, kind: Column) -> Column:
+    """A JSON value (a variant) of a known kind as an int; NULL where it is none.
 
     Numbers are truncated toward zero and booleans count 1 and 0, but text must
     be a whole number as it stands: 3.7 is 3, "3" is 3, "3.7" is nothing. Nor are
     null, lists and objects, and numbers beyond 32 bits.
     """
-    kind = F.schema_of_variant(value)
     return (
-        F.when(kind == "STRING", _text_as_whole(F.try_variant_get(value, "$", "string")))
+        F.when(kind == "BIGINT", F.try_variant_get(value, "$", "int"))
+        .when(kind == "STRING", _text_as_whole(F.try_variant_get(value, "$", "string")))
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int"))
         .when(
-            kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
+            kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"),
             F.try_variant_get(value, "$", "double").try_cast("int"),
         )
     )
 
 
-def is_empty_value(value: Column) -> Column:
+def is_empty_value(value: Column, kind: Column) -> Column:
     """Absent, null, false, or text, list or object without content."""
-    kind = F.schema_of_variant(value)
-    hollow = F.to_json(value).isin("null", "false", '""', "[]", "{}")
-    return value.isNull() | (kind == "VOID") | F.coalesce(hollow, F.lit(False))
+    return F.when(kind == "BIGINT", False).otherwise(
+        value.isNull() | F.to_json(value).isin("null", "false", '""', "[]", "{}")
+    )
 
 
 def text_value(value: Column) -> Column:

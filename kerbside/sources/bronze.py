@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from kerbside.functions.columns import (
     iso_text,
     natural_key,
     text_value,
+    value_kind,
     whole_value,
 )
 from kerbside.schemas import (
@@ -124,20 +126,26 @@ def coerce_records(records: DataFrame) -> DataFrame:
         return F.try_variant_get("record", f"$.{name}", "variant")
 
     present = records.select(*[field(name).alias(name) for name in READING_FIELDS])
-    counts = [
-        F.when(is_empty_value(F.col(name)), F.lit(0)).otherwise(whole_value(F.col(name))).alias(name)
-        for name in COUNT_FIELDS
-    ]
-    has_texts = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in TEXT_IDENTITY])
-    typed = present.select(
-        whole_value(F.col("location_id")).alias("location_id"),
+    numbers = ["location_id", *COUNT_FIELDS]
+    known = present.withColumns({f"kind_{n}": value_kind(F.col(n)) for n in numbers})
+
+    def whole(name: str) -> Column:
+        return whole_value(F.col(name), F.col(f"kind_{name}"))
+
+    def count(name: str) -> Column:
+        empty = is_empty_value(F.col(name), F.col(f"kind_{name}"))
+        return F.when(empty, F.lit(0)).otherwise(whole(name))
+
+    typed = F.struct(
+        whole("location_id").alias("location_id"),
         *[text_value(F.col(name)).alias(name) for name in TEXT_IDENTITY],
-        *counts,
-        has_texts.alias("has_texts"),
+        *[count(name).alias(name) for name in COUNT_FIELDS],
+        reduce(and_, [F.col(name).isNotNull() for name in TEXT_IDENTITY]).alias("has_texts"),
     )
-    numbers = [F.col(name).isNotNull() for name in ("location_id", *COUNT_FIELDS)]
-    sound = reduce(lambda a, b: a & b, numbers, F.col("has_texts"))
-    return typed.withColumn("is_malformed", ~sound).drop("has_texts")
+    # Rows of a generator: a filter above does not compute the values once more.
+    rows = known.select(F.inline(F.array(typed)))
+    sound = reduce(and_, [F.col(name).isNotNull() for name in numbers], F.col("has_texts"))
+    return rows.withColumn("is_malformed", ~sound).drop("has_texts")
 
 
 def parse_pages(pages: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:

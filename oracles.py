@@ -859,6 +859,13 @@ def all_sql() -> dict[str, str]:
         "feature_rows_chunked": chain(f"SELECT {feature_names} FROM feature", "feature"),
         "time_split": chain("SELECT sensor_key, date_key, event_hour, split FROM split", "split"),
         "split_sizes": chain("SELECT split, count(*) AS rows FROM split GROUP BY split", "split"),
+        "gbt_reloaded": chain(
+            """
+            SELECT sensor_key, date_key, event_hour, true AS usable FROM split
+            WHERE split = 'test'
+            """,
+            "split",
+        ),
         "naive_metrics": chain(
             """
             SELECT round(avg(abs(target_next_hour - greatest(lag_24h, 0)))
