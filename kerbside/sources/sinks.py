@@ -17,13 +17,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder; Spark's own interface has no call for that."""
+def _file_system(spark: SparkSession, path: str):
+    """Spark's own interface can neither delete nor list folders."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
     files.delete(target, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return []
+    return [status.getPath().getName() for status in files.listStatus(target)]
+
+
 def gather(df: DataFrame, *partition_columns: str) -> DataFrame:
     """Few files per partition value: ``rebalance`` brings a value's rows
     together and, at run time, splits a value with far more rows than the rest."""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.sources.sinks import gather, remove
+from kerbside.sources.sinks import children, gather, remove
 
 LOAD, TABLE, PART = "load_of", "table_of", "part_of"
 NULL_PART = "__HIVE_DEFAULT_PARTITION__"  # fixed value: how Spark names a folder of NULLs
@@ -205,11 +205,13 @@ def merge(
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
-    """Deletes parts that none of the newest ``keep`` versions uses, and gathers
-    the log of commits into one full commit; returns the number of parts.
+    """Deletes parts that none of the newest ``keep`` versions uses, and what no
+    commit names: loads that died, working tables of others. Gathers the log of
+    commits into one full commit; returns the number of parts and tables deleted.
 
     Readers that resolved one of those versions finish undisturbed; one that
-    reads the log just now may have to do so again.
+    reads the log just now may have to do so again. The writer runs it, between
+    loads: a load that is under way is named by no commit either.
     """
     log = commits(spark, root)
     latest = log.agg(F.max("version")).first()[0]
@@ -220,8 +222,8 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
         for v in range(max(1, latest - keep + 1), latest + 1)
         for r in live(spark, root, v)
     }
-    every = log.filter(F.col("load").isNotNull()).select("name", "part", "load").distinct()
-    dead = [tuple(r) for r in every.collect() if tuple(r) not in used]
+    every = log.filter(F.col("load").isNotNull()).select("name", "part", "load").distinct().collect()
+    dead = [tuple(r) for r in every if tuple(r) not in used]
     files = [r[0] for r in log.select("_metadata.file_path").distinct().collect()]
     rows = [(latest + 1, True, r.name, r.part, r.load, r["columns"]) for r in live(spark, root)]
     _append(spark, root, rows)
@@ -229,4 +231,14 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
         remove(spark, f"{_folder(root, load, name)}/{PART}={part}")
     for file in files:
         remove(spark, file)
-    return len(dead)
+    in_use = {_folder(root, load, name) for name, _, load in used if load is not None}
+    named = {_folder(root, r["load"], r["name"]) for r in every}
+    unused = [
+        folder
+        for load in children(spark, f"{root}/data")
+        for table in children(spark, f"{root}/data/{load}")
+        if (folder := f"{root}/data/{load}/{table}") not in in_use and table.startswith(f"{TABLE}=")
+    ]
+    for folder in unused:
+        remove(spark, folder)
+    return len(dead) + len(set(unused) - named)

@@ -189,6 +189,22 @@ class TestSilverJobs:
         assert tables(spark, paths["silver"]) == want
         assert versions.vacuum(spark, paths["gold"]) == 0
 
+    def test_vacuum_clears_what_no_commit_names(self, spark, paths, monkeypatch):
+        rebuild(spark, paths)
+        with monkeypatch.context() as patch:
+            patch.setattr(versions, "commit", failing)
+            with pytest.raises(RuntimeError):
+                rebuild(spark, paths)
+        gold_plan.publish_gold(spark, paths["silver"], paths["gold"])
+        want = tables(spark, paths["silver"]), content(
+            gold_plan.read_marts(spark, paths["gold"])["fact_footfall_hourly"]
+        )
+        assert versions.vacuum(spark, paths["silver"]) == 2  # both tables of the load that died
+        assert versions.vacuum(spark, paths["gold"]) == 2  # hourly sums and the report
+        assert want == (tables(spark, paths["silver"]), content(
+            gold_plan.read_marts(spark, paths["gold"])["fact_footfall_hourly"]
+        ))
+
     def test_rows_without_key_are_the_same_by_every_road(self, spark, paths, tmp_path):
         root = tmp_path / "keyless"
         for day in (11, 12, 13):
