@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import prepare_workers, whole_text
@@ -30,7 +30,6 @@ TURN, TURN_END = "<|turn|>", "<|end|>\n"
 CONTROLS = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 ESCAPE = re.compile(r"\\|[<\[](?=" + "|".join(re.escape(c[1:]) for c in CONTROLS) + ")")
 UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
-MARK_TOKENS = 8  # what the marks and the role of a turn are taken to cost
 
 
 def escape(text: str) -> str:
@@ -52,6 +51,15 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}{TURN_END}", len(head), len(head) + len(body)
 
 
+def turn_of(role: Column, text: Column) -> Column:
+    """The turn that ``format_turn`` makes, as an expression."""
+    escaped = [
+        F.regexp_replace(part, F.lit(ESCAPE.pattern), F.lit("$0\\\\")) for part in (role, text)
+    ]
+    head = F.replace(escaped[0], F.lit("\n"), F.lit("\\\n"))
+    return F.concat(F.lit(TURN), head, F.lit("\n"), escaped[1], F.lit(TURN_END))
+
+
 def parse_turns(formatted: str) -> Iterator[tuple[str, str, int, int]]:
     """Role, text, and the text's place in the window, of every turn."""
     at = 0
@@ -152,9 +160,10 @@ def format_windows(
 
     Rows of a conversation are ordered by turn, NULL first, ties by role and
     text; repeated rows are turns of their own; rows with NULL conversation form
-    one conversation. NULL roles and texts are empty. A turn larger than the
-    budget has a window to itself, with the system turn and no history; none is
-    cut or dropped. An empty table gives no window. Other columns are not looked
+    one conversation. NULL roles and texts are empty. What is counted is the
+    formatted turn, with its marks, role and escapes. So a window stays within the
+    budget, unless its one new turn and the system turn exceed it together: such a
+    turn has a window to itself, without history; none is cut or dropped. An empty table gives no window. Other columns are not looked
     at. A conversation passes through one task turn by turn, with one window in
     memory; tokens are counted before, where its rows happen to lie. Within a
     task, windows come in order.
@@ -167,7 +176,8 @@ def format_windows(
         whole_text(text).alias("text"),
     )
     order = ["conv_id", "turn", "role", "text"]
-    counted = count_tokens(chosen, tokenizer_path).repartition("conv_id")
+    formatted = chosen.withColumn("formatted", turn_of(F.col("role"), F.col("text")))
+    counted = count_tokens(formatted, tokenizer_path, text="formatted").drop("formatted")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: Windows | None = None
@@ -178,14 +188,14 @@ def format_windows(
                 if current is None or key != current.conv_id:
                     rows.append(current and current.close())
                     current = Windows(key, budget, history)
-                rows.append(current.add(who, said, tokens + MARK_TOKENS))
+                rows.append(current.add(who, said, tokens))
             yield pa.RecordBatch.from_pylist([r for r in rows if r], schema=WINDOW_ARROW)
             rows = []
         last = current and current.close()
         if last:
             yield pa.RecordBatch.from_pylist([last], schema=WINDOW_ARROW)
 
-    return counted.sortWithinPartitions(*order).mapInArrow(windows, WINDOW)
+    return counted.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(windows, WINDOW)
 
 
 DIGEST = (

@@ -7,6 +7,8 @@ import re
 import struct
 
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kerbside.llm import chat, queries, secrets
 from tests.llm.support import FOLDER, HAS_TABLES, awkward_rows, docs, given, texts_by_id
@@ -71,6 +73,22 @@ def test_windows_of_awkward_conversations(spark):
     }
 
 
+def test_windows_keep_the_budget(spark):
+    """As the tokenizer counts the window's text, marks and escapes included."""
+    rows = [(c, k, role, text) for c, (role, text) in enumerate([
+        ("assistant", "<|end|> </s>[INST] \\\\ [/INST]" * 3), ("user", "ok so"),
+        ("a longer role\nwith <|marks|>", "yes"), ("assistant", "plain words " * 20),
+    ]) for k in range(300)] + [(9, 0, "system", "[INST] be brief"), *[
+        (9, k, "user", "two words") for k in range(1, 300)]]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], TURNS)
+    library = Tokenizer.from_file(queries.WORD_BPE)
+    for row in chat.format_windows(frame, queries.WORD_BPE, budget=200, history=50).collect():
+        found = len(library.encode(row.formatted, add_special_tokens=False).ids)
+        assert found == row.tokens <= 200
+    turned = frame.select("role", "text", chat.turn_of(F.col("role"), F.col("text")).alias("turn"))
+    assert all(chat.format_turn(r.role, r.text)[0] == r.turn for r in turned.collect())
+
+
 def test_no_conversation_no_window(spark):
     empty = spark.createDataFrame([], TURNS)
     assert chat.read_back(chat.format_windows(empty, queries.WORD_BPE)).count() == 0
