@@ -4,7 +4,8 @@ A piece's symbols are leaves of a tree whose nodes hold the least (rank, place)
 of the pairs below them. The root thus names the leftmost pair of lowest rank;
 merging it changes three leaves, each a logarithmic update, until no pair that
 can be merged is left. Many pieces are worked on at once: a tree is a row of a
-numpy array, and one step takes every unfinished row's root.
+numpy array, and one step takes every unfinished row's root. Where few pieces of
+a width come together, long ones above all, each has a tree to itself.
 
 Handles byte-level tokenizers (``ByteLevel`` pre-tokenizer without prefix
 space) in the file format of the tokenizers library, and gives its ids.
@@ -13,6 +14,7 @@ space) in the file format of the tokenizers library, and gives its ids.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +33,7 @@ PIECES = regex.compile(
 # A space after other white space: there a piece may span words.
 WIDE_SPACE = regex.compile(r"\s ")
 TREE_CELLS = 500_000
+ROWS_AT_ONCE = 32  # fewer pieces are merged one by one
 NONE = np.iinfo(np.int64).max
 
 
@@ -89,6 +92,10 @@ class SegmentTreeBpe:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.ranks = PairRanks(np.array([[vocab[a], vocab[b]] for a, b in pairs], np.int64))
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.symbol_of_rank = self.merged.tolist()
+        self.rank_of: dict[int, int] = {}
+        for rank, (a, b) in enumerate(pairs):
+            self.rank_of.setdefault(vocab[a] << 32 | vocab[b], rank)
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each piece."""
@@ -100,6 +107,11 @@ class SegmentTreeBpe:
             step = max(1, TREE_CELLS // (2 * width))
             for at in range(0, len(members), step):
                 some = members[at : at + step]
+                if len(some) < ROWS_AT_ONCE:
+                    alone = [self._merge_one(pieces[i]) for i in some.tolist()]
+                    counts[some] = [len(ids) for ids in alone]
+                    done.append((some, np.concatenate(alone)))
+                    continue
                 ids, alive = self._merge([pieces[i] for i in some.tolist()], width)
                 counts[some] = alive.sum(axis=1)
                 done.append((some, ids[alive]))
@@ -109,6 +121,58 @@ class SegmentTreeBpe:
             out[runs(starts[some], counts[some])] = ids
         return out, counts
 
+    def _merge_one(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece. Places need no more than a few bytes each, so that a
+        piece of many megabytes can be held."""
+        n = len(piece)
+        ids = array("i", self.of_byte[np.frombuffer(piece, np.uint8)].tobytes())
+        if n < 2:
+            return np.asarray(ids, np.int32)
+        width = 1 << (n - 1).bit_length()
+        first = self.ranks.of(np.asarray(ids)[:-1], np.asarray(ids)[1:])
+        grown = np.full(2 * width, NONE)
+        grown[width : width + n - 1] = np.where(first >= 0, first * width + np.arange(n - 1), NONE)
+        size = width
+        while size > 1:
+            grown[size // 2 : size] = grown[size : 2 * size].reshape(-1, 2).min(axis=1)
+            size //= 2
+        tree = array("q", grown.tobytes())
+        after = array("i", range(1, n + 1))
+        before = array("i", range(-1, n - 1))
+        rank_of, merged, none = self.rank_of.get, self.symbol_of_rank, NONE
+
+        def put(node: int, key: int) -> None:
+            tree[node] = key
+            while node > 1:
+                other = tree[node ^ 1]
+                node >>= 1
+                if other < key:
+                    key = other
+                if tree[node] == key:
+                    return
+                tree[node] = key
+
+        def key_of(left: int, right: int) -> int:
+            rank = rank_of(ids[left] << 32 | ids[right])
+            return none if rank is None else rank * width + left
+
+        while tree[1] != none:
+            rank, at = divmod(tree[1], width)
+            gone = after[at]
+            then = after[gone]
+            ids[at], ids[gone] = merged[rank], -1
+            after[at] = then
+            put(width + gone, none)
+            if then < n:
+                before[then] = at
+                put(width + at, key_of(at, then))
+            else:
+                put(width + at, none)
+            if before[at] >= 0:
+                put(width + before[at], key_of(before[at], at))
+        out = np.asarray(ids, np.int32)
+        return out[out >= 0]
+
     def _merge(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         rows = len(pieces)
         padded = b"".join(p.ljust(width, b"\0") for p in pieces)

@@ -70,16 +70,18 @@ class PieceMemo:
     """Token ids per text piece, remembered within a Python worker.
 
     ``encode`` turns a list of new pieces into all their ids in a row and the
-    number of ids of each. Once more than ``limit`` pieces are known the memo
-    starts afresh, so that a worker's memory does not grow with the corpus.
+    number of ids of each. Once more than ``limit`` pieces are known, or their
+    characters and ids are more than ``size_limit``, the memo starts afresh, so
+    that a worker's memory does not grow with the corpus, however long pieces are.
     """
 
     def __init__(
         self,
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
         limit: int = 150_000,
+        size_limit: int = 30_000_000,
     ):
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.size_limit = encode, limit, size_limit
         self.clear()
 
     def clear(self) -> None:
@@ -87,7 +89,7 @@ class PieceMemo:
         self.starts = np.zeros(1024, np.int64)
         self.counts = np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.int32)
-        self.filled = 0
+        self.filled = self.chars = 0
 
     def _add(self, pieces: list[str]) -> None:
         first = len(self.known)
@@ -102,11 +104,12 @@ class PieceMemo:
         self.pool[self.filled : ends[-1]] = ids
         self.starts[first:need], self.counts[first:need] = ends - counts, counts
         self.filled = int(ends[-1])
+        self.chars += sum(map(len, pieces))
         self.known.update(zip(pieces, range(first, need)))
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin and end."""
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.chars + self.filled > self.size_limit:
             self.clear()
         flat = list(chain.from_iterable(texts))
         get = self.known.get
