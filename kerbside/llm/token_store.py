@@ -12,6 +12,7 @@ Ids are little-endian, 16 bits wide where the vocabulary allows it, else 32.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -29,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbside.llm.bpe import byte_symbols
 from kerbside.llm.common import PieceMemo, prepare_workers, whole_text
 
 FRAME_TOKENS = 1 << 20
@@ -43,6 +45,11 @@ FOOTER = struct.Struct("<IBI")
 # Control characters that str.split takes for white space and the tokenizer does not.
 ODD_SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE_SPACE = regex.compile(r"\p{White_Space}+")
+# Letters below U+0250 and ASCII signs after them: two pieces, whose normal form
+# is the lower case (that of the dotted capital I has a mark, and is left out).
+LATIN = regex.compile(
+    r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)"
+)
 
 
 class WordTokenizer:
@@ -66,24 +73,48 @@ class WordTokenizer:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.wide = max(vocab.values()) >= 1 << 16
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.lowers = steps == ["NFC", "Replace", "Lowercase"]
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.tokenize = self.library.model.tokenize
         self.memo = PieceMemo(self._encode_words, MEMO_WORDS)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         batch = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in batch]
 
+    def _piece(self, text: str) -> list[int]:
+        """Ids of a normalized piece, straight from the library's model."""
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.symbols)
+        return [token.id for token in self.tokenize(text)]
+
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of letters alone are one piece each and end where an id ends a
-        word; others are set apart by a special token."""
-        plain, other, alone = [], [], []
+        """Latin words are given to the model as they are. Other words of letters
+        alone are one piece each and end where an id ends a word; the rest are set
+        apart by a special token."""
+        latin, plain, other, alone = [], [], [], []
+        pieces, sizes = [], []
         for i, word in enumerate(words):
-            if word.isalpha() and (word.isascii() or self._stays_letters(word)):
+            parts = self.lowers and LATIN.fullmatch(word)
+            if parts:
+                before = len(pieces)
+                pieces += self._piece(parts[1].lower())
+                if parts[2]:
+                    pieces += self._piece(parts[2])
+                latin.append(i)
+                sizes.append(len(pieces) - before)
+            elif word.isalpha() and (word.isascii() or self._stays_letters(word)):
                 plain.append(i)
             elif any(s in word for s in self.special):
                 alone.append(i)
             else:
                 other.append(i)
-        found: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        found: list[tuple[list[int], np.ndarray, np.ndarray]] = [
+            (latin, np.array(pieces, np.int64), np.array(sizes, np.int64))
+        ]
         for places, glue in ((plain, " "), (other, self.separator)):
             for at in range(0, len(places), 20_000):
                 some = places[at : at + 20_000]

@@ -39,6 +39,19 @@ def test_segment_tree_gives_the_library_s_ids():
     assert tool.decode(values, ends) == ODD
 
 
+def test_long_pieces_have_trees_to_themselves(monkeypatch):
+    texts = ["".join(random.choice(signs) for _ in range(n))
+             for n in (1, 2, 3, 1_000, 1_025, 150_000) for signs in ("etaoinshr", "中文字é", "a")]
+    tool = bpe.ByteLevelTokenizer(queries.BYTE_BPE)
+    for rows in (0, 1_000):  # all in arrays, for the shorter; all one by one
+        monkeypatch.setattr(bpe, "ROWS_AT_ONCE", rows)
+        some = texts if rows else texts[:12]
+        tool.memo.clear()
+        values, ends = tool.encode(some)
+        for k, text in enumerate(some):
+            assert values[ends[k] : ends[k + 1]].tolist() == ids_of(BYTES, text)
+
+
 def test_decoding_bytes_that_are_no_text():
     tool = bpe.ByteLevelTokenizer(queries.BYTE_BPE)
     ids = ids_of(BYTES, "é")[:1] if len(ids_of(BYTES, "é")) > 1 else [BYTES.token_to_id("Ã")]
@@ -97,6 +110,25 @@ def test_memo_starts_afresh_when_full():
         assert values[: ends[1]].tolist() == ids_of(WORDS, "one two three")
 
 
+def test_memo_holds_no_more_than_its_size():
+    tool = bpe.ByteLevelTokenizer(queries.BYTE_BPE)
+    tool.memo.size_limit = 5_000
+    for k in range(20):
+        tool.encode([f"{k}" + "x" * 1_000])
+        assert tool.memo.chars + tool.memo.filled < 5_000 + 2_100
+
+
+def test_words_with_signs_after_them_give_the_library_s_ids():
+    tool = token_store.WordTokenizer(queries.WORD_BPE)
+    letters = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha()]
+    words = ["".join(random.choices(letters, k=random.randint(1, 8)))
+             + "".join(random.choices("'.,!#$%&-=<|>\"", k=random.randint(0, 4)))
+             for _ in range(3_000)] + ["we'", "x's", "don't'", "a<|", "É!", "İ.", "Σς,"]
+    values, ends = tool.encode(words)
+    for k, word in enumerate(words):
+        assert values[ends[k] : ends[k + 1]].tolist() == ids_of(WORDS, word), word
+
+
 def test_store_reads_back_what_it_wrote(spark, tmp_path):
     rows = awkward_rows()
     folder = str(tmp_path / "store")
