@@ -36,7 +36,10 @@ PIECE = 600_000  # bytes hashed at once
 PLACE = np.uint64((1 << 24) - 1)
 SETTLE = 600_000  # runs a task compares among themselves before it sends them
 REFINE = 2_000_000  # bytes refined at once
-LARGE_SHARE = 1 / 2_000  # of all runs to refine: strings of larger buckets are spread
+# Strings of buckets with more runs than this, or than this share of all runs to
+# refine, are spread.
+LARGE_RUNS = 10_000
+LARGE_SHARE = 1 / 2_000
 LAST_ID = 2**63 - 1
 
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
@@ -114,7 +117,7 @@ def all_runs(bodies: list[bytes]):
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-RUNS = "gram bigint, content bigint, doc bigint, at bigint, repeat boolean"
+RUNS = "gram bigint, content bigint, doc bigint, row bigint, at bigint, repeat boolean"
 
 
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,21 +126,24 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting, size = [], 0
 
     def settle() -> pa.RecordBatch:
-        gram, content, doc, at = (np.concatenate(c) for c in zip(*waiting))
-        order = np.lexsort((at, doc, content, gram))
-        gram, content, doc, at = gram[order], content[order], doc[order], at[order]
+        gram, content, doc, row, at = (np.concatenate(c) for c in zip(*waiting))
+        order = np.lexsort((at, row, doc, content, gram))
+        gram, content, doc, row, at = (c[order] for c in (gram, content, doc, row, at))
         same = np.zeros(len(gram), bool)
         same[1:] = (gram[1:] == gram[:-1]) & (content[1:] == content[:-1])
         # The same run of a row that is there twice is no repeat of itself.
         twice = np.zeros(len(gram), bool)
-        twice[1:] = same[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
+        twice[1:] = (
+            same[1:] & (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (at[1:] == at[:-1])
+        )
         kept = ~twice
         repeat = same.copy()
         heads = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-        repeat &= (doc != doc[heads]) | (at != at[heads])
-        columns = [gram.view(np.int64), content.view(np.int64), doc, at, repeat]
+        repeat &= (doc != doc[heads]) | (row != row[heads]) | (at != at[heads])
+        columns = [gram.view(np.int64), content.view(np.int64), doc, row, at, repeat]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c[kept]) for c in columns], names=["gram", "content", "doc", "at", "repeat"]
+            [pa.array(c[kept]) for c in columns],
+            names=["gram", "content", "doc", "row", "at", "repeat"],
         )
 
     for batch in batches:
@@ -145,8 +151,9 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, low, _, _, gram, content = all_runs(bodies) if bodies else ([], [], [], [], [], [])
         if len(owner):
             doc = np.asarray(batch.column("doc"))[owner]
+            row = np.asarray(batch.column("row"))[owner]
             mark = np.asarray(batch.column("mark")).astype(np.int64)[owner]
-            waiting.append((gram, content, doc, (mark << 32) | low))
+            waiting.append((gram, content, doc, row, (mark << 32) | low))
             size += len(owner)
         if size >= SETTLE:
             yield settle()
@@ -156,16 +163,25 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, mark, body): ids with NULL last, and 31 bits of the text's hash that
-    tell rows of one id apart."""
+    """(doc, row, mark, body). Ids with NULL last: ``row`` is below zero where
+    there is an id. The other 63 bits of it and the 31 of ``mark`` are hashes of
+    the text, which tell rows of one id apart."""
     body = F.coalesce(F.col(text), F.lit(""))
+    number = F.col(doc_id).cast("bigint")
+    top = F.lit(-LAST_ID - 1)
+    told = F.xxhash64(body)
     return docs.select(
-        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST_ID)).alias("doc"),
-        F.pmod(F.xxhash64(body), F.lit(1 << 31)).cast("int").alias("mark"),
+        F.coalesce(number, F.lit(LAST_ID)).alias("doc"),
+        F.when(number.isNull(), told.bitwiseAND(F.lit(LAST_ID)))
+        .otherwise(told.bitwiseOR(top)).alias("row"),
+        F.pmod(F.xxhash64(F.lit(1), body), F.lit(1 << 31)).cast("int").alias("mark"),
         body.alias("body"),
     )
 
 
+KEY = ["doc", "row", "mark"]
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """The same with bodies compressed, for texts that have to be shuffled."""
 
@@ -174,17 +190,17 @@ def packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data = [packer.compress(b.encode()) for b in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("mark"), pa.array(data, pa.binary())],
-                names=["doc", "mark", "data"],
+                [*(batch.column(n) for n in KEY), pa.array(data, pa.binary())],
+                names=[*KEY, "data"],
             )
 
-    return docs.mapInArrow(pack, "doc bigint, mark int, data binary")
+    return docs.mapInArrow(pack, "doc bigint, row bigint, mark int, data binary")
 
 
 def per_document(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows gathered by document: never more than a document has runs."""
     return rows.groupBy(
-        "doc", F.shiftright("at", 32).cast("int").alias("mark")
+        "doc", "row", F.shiftright("at", 32).cast("int").alias("mark")
     ).agg(F.collect_list(F.struct(F.col("at").bitwiseAND((1 << 32) - 1).alias("low"), *columns))
           .alias("found"))
 
@@ -198,14 +214,14 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, low, high, anchor, _, _ = all_runs(bodies) if bodies else ([], [], [], [], [], [])
         ends = np.searchsorted(owner, np.arange(len(bodies) + 1))
         asked = batch.column("found").to_pylist()
-        docs, marks = batch.column("doc").to_pylist(), batch.column("mark").to_pylist()
+        docs, rows, marks = (batch.column(n).to_pylist() for n in KEY)
         for k, body in enumerate(bodies):
             own = slice(ends[k], ends[k + 1])
             place = dict(zip(low[own].tolist(), zip(high[own].tolist(), anchor[own].tolist())))
             for one in asked[k]:
                 start = one["low"]
                 last, at = place[start]
-                out.append((one["gram"], one["n"], docs[k], (marks[k] << 32) | start,
+                out.append((one["gram"], one["n"], docs[k], rows[k], (marks[k] << 32) | start,
                             at - start, body[start : last + LENGTH]))
         columns = list(zip(*out)) or [[] for _ in CONTEXT_ARROW]
         yield pa.RecordBatch.from_arrays(
@@ -213,10 +229,12 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-CONTEXT = "gram bigint, n bigint, doc bigint, at bigint, anchor int, body binary"
+CONTEXT = (
+    "gram bigint, n bigint, doc bigint, row bigint, at bigint, anchor int, body binary"
+)
 CONTEXT_ARROW = pa.schema([
-    ("gram", pa.int64()), ("n", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()),
-    ("anchor", pa.int32()), ("body", pa.binary()),
+    ("gram", pa.int64()), ("n", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()),
+    ("at", pa.int64()), ("anchor", pa.int32()), ("body", pa.binary()),
 ])
 
 
@@ -241,32 +259,32 @@ def _refine(ranks: np.ndarray, offset: int) -> np.ndarray:
     return np.unique((ranks[:-offset] << 32) | ranks[offset:], return_inverse=True)[1]
 
 
-SPANS = "doc bigint, at bigint, first int, stop int"
-SPANS_ARROW = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("first", pa.int32()),
-                         ("stop", pa.int32())])
+SPANS = "doc bigint, row bigint, at bigint, first int, stop int"
+SPANS_ARROW = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int64()),
+                         ("first", pa.int32()), ("stop", pa.int32())])
 
 
 def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered parts of runs, from whole buckets in order of (gram, doc, at)."""
+    """Covered parts of runs, from whole buckets in order of (gram, doc, row, at)."""
     waiting: list[tuple] = []
     size = 0
     for batch in batches:
-        columns = (batch.column(n).to_pylist() for n in ("gram", "doc", "at", "body"))
-        for row in zip(*columns):
-            if waiting and row[:3] == waiting[-1][:3]:
+        columns = (batch.column(n).to_pylist() for n in ("gram", "doc", "row", "at", "body"))
+        for run in zip(*columns):
+            if waiting and run[:4] == waiting[-1][:4]:
                 continue  # the same run of a row that is there twice
-            if size >= REFINE and row[0] != waiting[-1][0]:
+            if size >= REFINE and run[0] != waiting[-1][0]:
                 yield _repeats(waiting)
                 waiting, size = [], 0
-            waiting.append(row)
-            size += len(row[3])
+            waiting.append(run)
+            size += len(run[4])
     if waiting:
         yield _repeats(waiting)
 
 
 def _repeats(rows: list[tuple]) -> pa.RecordBatch:
-    data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-    lengths = np.array([len(r[3]) for r in rows])
+    data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+    lengths = np.array([len(r[4]) for r in rows])
     begins = np.cumsum(lengths) - lengths
     counts = lengths - LENGTH + 1
     ranks = rank_strings(data)[runs(begins, counts)]
@@ -284,6 +302,7 @@ def _repeats(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array([rows[i][1] for i in owners.tolist()], pa.int64()),
         pa.array([rows[i][2] for i in owners.tolist()], pa.int64()),
+        pa.array([rows[i][3] for i in owners.tolist()], pa.int64()),
         pa.array(inner[hit][low].astype(np.int32)),
         pa.array((inner[hit][last] + LENGTH).astype(np.int32)),
     ], schema=SPANS_ARROW)
@@ -296,36 +315,38 @@ def spread_strings(contexts: DataFrame) -> DataFrame:
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = (batch.column(n).to_pylist() for n in ("doc", "at", "body"))
-            for doc, at, body in zip(*columns):
+            columns = (batch.column(n).to_pylist() for n in ("doc", "row", "at", "body"))
+            for doc, row, at, body in zip(*columns):
                 for k in range(len(body) - LENGTH + 1):
-                    out.append((xxhash.xxh3_128_digest(body[k : k + LENGTH]), doc, at, k))
-            columns = list(zip(*out)) or [[] for _ in range(4)]
+                    out.append((xxhash.xxh3_128_digest(body[k : k + LENGTH]), doc, row, at, k))
+            columns = list(zip(*out)) or [[] for _ in range(5)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in
-                 zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int32()))],
-                names=["string", "doc", "at", "k"],
+                 zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
+                names=["string", "doc", "row", "at", "k"],
             )
 
-    rows = contexts.select("doc", "at", "body").mapInArrow(
-        strings, "string binary, doc bigint, at bigint, k int"
+    rows = contexts.select("doc", "row", "at", "body").mapInArrow(
+        strings, "string binary, doc bigint, row bigint, at bigint, k int"
     )
-    firsts = rows.groupBy("string").agg(F.min(F.struct("doc", "at", "k")).alias("head"))
+    firsts = rows.groupBy("string").agg(F.min(F.struct("doc", "row", "at", "k")).alias("head"))
     # No run has more strings than its anchor has places in one.
-    fresh = firsts.select("head.*").groupBy("doc", "at").agg(F.collect_list("k").alias("fresh"))
+    fresh = firsts.select("head.*").groupBy("doc", "row", "at").agg(
+        F.collect_list("k").alias("fresh")
+    )
     every = F.sequence(F.lit(0), F.octet_length("body") - F.lit(LENGTH))
     again = F.array_except("every", F.coalesce("fresh", F.array().cast("array<int>")))
     return (
-        contexts.select("doc", "at", every.alias("every"))
-        .join(fresh, ["doc", "at"], "left")
+        contexts.select("doc", "row", "at", every.alias("every"))
+        .join(fresh, ["doc", "row", "at"], "left")
         .withColumn("again", again)
         .filter(F.size("again") > 0)
-        .select("doc", "at", F.array_min("again").alias("first"),
+        .select("doc", "row", "at", F.array_min("again").alias("first"),
                 (F.array_max("again") + LENGTH).cast("int").alias("stop"))
     )
 
 
-RESULT = "doc bigint, mark int, spans array<struct<start:bigint,stop:bigint>>, kept binary"
+RESULT = "doc bigint, row bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
 RESULT_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -359,9 +380,9 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans[k] = [{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
             kept[k] = np.frombuffer(bodies[k], np.uint8)[~gone].tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), batch.column("mark"), pa.array(spans, RESULT_SPANS),
+            [batch.column("doc"), batch.column("row"), pa.array(spans, RESULT_SPANS),
              pa.array(kept, pa.binary())],
-            names=["doc", "mark", "spans", "kept"],
+            names=["doc", "row", "spans", "kept"],
         )
 
 
@@ -383,11 +404,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = rows.mapInArrow(find_runs, RUNS)
     # Per bucket at most one row of each content and task; what a task has settled
     # is past judging, and is dealt out by place.
-    dealt = F.when(F.col("repeat"), F.xxhash64("doc", "at")).otherwise(F.col("gram"))
+    dealt = F.when(F.col("repeat"), F.xxhash64("doc", "row", "at")).otherwise(F.col("gram"))
     sent = found.withColumn("deal", dealt).repartition("repeat", "deal")
     in_bucket = Window.partitionBy("repeat", "deal")
     of_content = Window.partitionBy("repeat", "deal", "content")
-    here = F.struct("doc", "at")
+    here = F.struct("doc", "row", "at")
     judged = stored(
         sent.withColumn("head", F.min(here).over(of_content))
         .withColumn("least", F.min("content").over(in_bucket))
@@ -395,27 +416,29 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .withColumn("n", F.count("*").over(in_bucket))
         .withColumn("again", F.col("repeat") | (here != F.col("head")))
         .filter(F.col("again") | (F.col("least") != F.col("most")))
-        .select("gram", "doc", "at", "again", "n"),
+        .select("gram", "doc", "row", "at", "again", "n"),
         folder, "runs",
     )
     whole = judged.filter("again").select(
-        "doc", "at", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("stop")
+        "doc", "row", "at",
+        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("stop")
     )
     asked = per_document(judged.filter("NOT again"), "gram", "n")
     contexts = stored(
-        packed(rows).join(asked, ["doc", "mark"]).mapInArrow(fetch, CONTEXT), folder, "contexts"
+        packed(rows).join(asked, KEY).mapInArrow(fetch, CONTEXT), folder, "contexts"
     )
-    large = F.col("n") > LARGE_SHARE * judged.filter("NOT again").count()
+    share = LARGE_SHARE * judged.filter("NOT again").count()
+    large = F.col("n") > min(LARGE_RUNS, share)
     small = (
         contexts.filter(~large)
         .repartition("gram")
-        .sortWithinPartitions("gram", "doc", "at")
-        .select("gram", "doc", "at", "body")
+        .sortWithinPartitions("gram", "doc", "row", "at")
+        .select("gram", "doc", "row", "at", "body")
         .mapInArrow(refine, SPANS)
     )
     parts = small.unionByName(spread_strings(contexts.filter(large)))
     covered = per_document(whole.unionByName(parts), "first", "stop")
-    result = packed(rows).join(covered, ["doc", "mark"], "left").mapInArrow(cut, RESULT)
+    result = packed(rows).join(covered, KEY, "left").mapInArrow(cut, RESULT)
     return result.select(
-        F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), "spans", "kept"
+        F.when(F.col("row") < 0, F.col("doc")).alias("doc_id"), "spans", "kept"
     )

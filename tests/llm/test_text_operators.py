@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from kerbside.llm import decontaminate, imatch, queries, substring_dedup, toxicity
 from kerbside.llm.words import document_frequencies, words_of_texts
@@ -402,6 +403,24 @@ def test_awkward_documents_keep_their_rows(spark):
         [(k, t.encode()) for k, t in enumerate(repeated_texts())])
 
 
+def test_texts_without_id_whose_hashes_agree_in_part(spark):
+    """And an id that is as large as one can be."""
+    passage, seen, pair = prose(40, 11), {}, None
+    for k in range(1_000_000):
+        text = f"{k} {passage}"
+        low = xxhash.xxh64_intdigest(text.encode(), 42) & ((1 << 31) - 1)
+        if low in seen:
+            pair = [f"{seen[low]} {passage}", text]
+            break
+        seen[low] = k
+    largest = 2**63 - 1
+    frame = docs(spark, [(key, t, *[None] * 4) for key, t in
+                         [(None, pair[0]), (None, pair[1]), (largest, passage)]])
+    found = {(r.doc_id, len(r.kept)) for r in substring_dedup.remove_repeats(frame).collect()}
+    assert (largest, len(passage)) in found  # ids come before none
+    assert {n for key, n in found if key is None} < {*range(1, 10)}
+
+
 @needs_tables
 def test_substring_query(spark):
     given_texts = texts_by_id(spark)
