@@ -7,13 +7,15 @@ their weighted Jaccard similarity. Two samples make a band; texts that share a
 band are candidates, and exact weighted Jaccard similarity decides.
 
 Exact copies are one node. Nodes that share a band form a bucket, and buckets of
-any size are resolved without comparing all pairs. A small bucket is compared
-pair by pair. In a larger one every node is compared with one pivot, the node
-that is in most of the crowd's buckets. Pairs that are joined by then, through
-whatever chain, need no look. Of any other pair one node at least is not joined
-with the pivot; such a pair can only be a link if its nodes differ from the pivot
-in the same way (``shared_keys`` says in how much), so what they differ in makes
-the smaller buckets of the next round, until no bucket has nodes of two classes.
+any size are resolved in three turns. A small bucket is compared pair by pair; in
+a larger one every node is compared with one pivot, the node that is in most of
+the crowd's buckets. Pairs that are joined by then, through whatever chain, need
+no look. Second, the nodes of larger buckets that still hold several classes meet
+by the shingles of a prefix: in an order common to all, rarest first, a node's
+first shingles up to a fifth of its weight, one of which two texts of similarity
+0.8 must share. These buckets are treated as the first were. Last, what shares a
+key in a bucket that still holds several classes is compared across its classes,
+in salted blocks, where the weights of both texts allow a link.
 """
 
 from __future__ import annotations
@@ -238,43 +240,15 @@ def popularity(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def shared_keys(
-    pivot, node, is_open: bool, near: float, limit: float, held: np.ndarray
-) -> tuple[np.ndarray, int]:
-    """Differences of a node from a pivot as keys, in one order for all nodes,
-    and how many of them are short: a link between two nodes of which at least
-    one is open shares a key that is short for one of them. The open nodes are
-    no closer to the pivot than ``near``, and further than ``limit``.
-
-    With D the mass of all differences of a node from pivot p, S what nodes a
-    and b share of it, and U = |a or b|, their distance is (Da + Db - 2 S) / U,
-    so a link has 2 S >= Da + Db - limit U. With f(x) = x / (2 - x), a link has
-    limit U <= f(limit) (|a| + |b|) and |b| >= (1 - limit) |a|; b is open, so
-    Db >= f(near) (|p| + |b|). What follows a's first differences of mass Da - S
-    (the short ones) is too little. For b, S >= Db - limit U, U <= |b| / (1 - limit).
-    The order puts first what few nodes differ in, so that what all have or lack
-    other than a pivot with edits of its own comes last.
-    """
-    _, left, right = np.intersect1d(
-        pivot[0], node[0], assume_unique=True, return_indices=True
-    )
-    more = node[1].astype(np.float64)
-    more[right] -= pivot[1][left]
-    lack = pivot[1].astype(np.float64)
-    lack[left] -= node[1][right]
-    gained, lost = node[0][more > 0], pivot[0][lack > 0]
-    keys = mix(np.concatenate([gained, lost ^ np.uint64(0x5BD1E995)]))
-    masses = np.concatenate([more[more > 0], lack[lack > 0]])
-    crowd = held[pivot[0] & MASK].max()
-    order = np.lexsort((keys, np.concatenate([held[gained & MASK], crowd - held[lost & MASK]])))
-    keys, masses = keys[order], masses[order]
-    total, own = float(masses.sum()), float(node[1].sum(dtype=np.float64))
-    f, g = near / (2 - near), limit / (2 - limit)
-    need = f * float(pivot[1].sum(dtype=np.float64)) - g * own + (f - g) * (1 - limit) * own
-    least = (total + need) / 2
-    short = 0 if least > total * (1 + 1e-6) + 1e-6 else prefix(masses, max(0.0, total - least))
-    taken = max(short, prefix(masses, limit / (1 - limit) * own)) if is_open else short
-    return keys[:taken].view(np.int64), min(short, len(keys))
+def prefix_keys(node, threshold: float, held: np.ndarray) -> np.ndarray:
+    """First shingles of a node in one order for all nodes, rarest first. A link
+    shares at least the threshold of the heavier node's weight, and what follows a
+    node's keys is lighter than that; so the first shingle that two linked nodes
+    share is a key of both."""
+    order = np.lexsort((node[0], held[node[0] & MASK]))
+    weights = node[1][order]
+    own = float(weights.sum(dtype=np.float64))
+    return node[0][order[: prefix(weights, (1 - threshold) * own)]]
 
 
 def band_buckets(signed: DataFrame) -> DataFrame:
@@ -320,7 +294,7 @@ def bucket_pairs(sized: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 COMPARED = "a binary, b binary, similarity double"
-KEYED = "bucket bigint, node binary, short boolean"
+KEYED = "bucket bigint, node binary, mass double"
 
 
 def meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -379,75 +353,59 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return meet(pairs.withColumn("near", F.lit(0.0)), sets).mapInArrow(measure, COMPARED)
 
 
-def difference_buckets(
-    stars: DataFrame, sets: DataFrame, is_open: bool, threshold: float, held
-) -> DataFrame:
-    """(bucket, node, short) of the nodes of stars: a row per shared key."""
-    limit = 1 - threshold
+def prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node, mass): a row per key of each node, and the node's weight."""
+    held = sets.sparkSession.sparkContext.broadcast(popularity(sets))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in met(batches):
-            keys, nodes, short = [np.zeros(0, np.uint64)], [], [np.zeros(0, bool)]
-            for a, b, near, one, other in found:
-                own, n = shared_keys(one, other, is_open, near, limit, held.value)
-                keys.append(mix(own.view(np.uint64) ^ np.frombuffer(a[:8], np.uint64)))
-                nodes.extend([b] * len(own))
-                short.append(np.arange(len(own)) < n)
+        for batch in batches:
+            found = [unpack(data) for data in batch.column("shingles").to_pylist()]
+            keys = [prefix_keys(one, threshold, held.value) for one in found]
+            counts = np.array([len(k) for k in keys], np.int64)
+            masses = [float(one[1].sum(dtype=np.float64)) for one in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(keys).view(np.int64)),
-                    pa.array(nodes, pa.binary()),
-                    pa.array(np.concatenate(short)),
+                    pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)),
+                    batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), counts))),
+                    pa.array(np.repeat(np.array(masses), counts)),
                 ],
-                names=["bucket", "node", "short"],
+                names=["bucket", "node", "mass"],
             )
 
-    return meet(stars.select("a", "b", "near"), sets).mapInArrow(keyed, KEYED)
-
-
-def next_buckets(
-    stars: DataFrame,
-    measured: DataFrame,
-    sets: DataFrame,
-    labels: DataFrame,
-    folder: str,
-    threshold: float,
-    held,
-) -> DataFrame:
-    """Buckets of the nodes that may have a link besides those through pivots."""
-    short_labels = labels.select("node", F.xxhash64("label").alias("label"))
-
-    def labelled(frame: DataFrame, node: str) -> DataFrame:
-        told = short_labels.select(F.col("node").alias(node), F.col("label").alias("_told"))
-        return frame.join(told, node, "left").select(
-            *frame.columns, F.coalesce("_told", F.xxhash64(node)).alias(f"label_{node}")
-        )
-
-    told = labelled(labelled(stars.select("a", "b"), "a"), "b").select(
-        "a", "b", (F.col("label_a") != F.col("label_b")).alias("open")
+    return sets.select("node", "shingles").mapInArrow(keyed, KEYED)
+
+
+def of_several_classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (bucket, node, ...) of buckets whose nodes are not of one class, with
+    the ``label`` of the class and the size ``n`` of the bucket."""
+    told = labels.select("node", F.xxhash64("label").alias("told"))
+    every = rows.drop("label", "n").join(told, "node", "left").withColumn(
+        "label", F.coalesce("told", F.xxhash64("node"))
+    ).drop("told")
+    mixed = every.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")
+    ).filter("least != most").select("bucket", "n")
+    return every.join(mixed, "bucket")
+
+
+def pairs_across(sized: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's nodes of different classes whose weights
+    allow a link. A bucket is dealt out in parts of some ``PAIRS_PER_TASK`` nodes."""
+    parts = F.ceil(F.col("n") / PAIRS_PER_TASK)
+    one = sized.select(
+        "bucket", F.pmod(F.xxhash64("node"), parts).alias("part"),
+        F.col("node").alias("a"), F.col("label").alias("of_a"), F.col("mass").alias("mass_a"),
     )
-    told = stored(told, folder, "stars")
-    nearest = (
-        told.filter("open").join(measured, ["a", "b"]).groupBy("a")
-        .agg((1 - F.max("similarity")).alias("near"))
+    other = sized.select(
+        "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"),
+        F.col("node").alias("b"), F.col("label").alias("of_b"), F.col("mass").alias("mass_b"),
     )
-    told = stored(told.join(nearest, "a"), folder, "near")
-    apart = told.filter("open")
-    keys = stored(difference_buckets(apart, sets, True, threshold, held), folder, "open")
-    # The joined nodes of a pivot matter only where an open one shares a key.
-    rest = difference_buckets(told.filter("NOT open"), sets, False, threshold, held).join(
-        keys.select("bucket").distinct(), "bucket", "left_semi"
-    )
-    every = labelled(keys.unionByName(stored(rest, folder, "joined")), "node").withColumnRenamed(
-        "label_node", "label"
+    lighter, heavier = F.least("mass_a", "mass_b"), F.greatest("mass_a", "mass_b")
+    return (
+        one.join(other, ["bucket", "part"])
+        .filter((F.col("of_a") < F.col("of_b")) & (lighter >= (threshold - 1e-6) * heavier))
+        .select("a", "b").distinct()
     )
-    alive = every.groupBy("bucket").agg(
-        F.count("*").alias("n"),
-        F.max("short").alias("short"),
-        F.min("label").alias("least"),
-        F.max("label").alias("most"),
-    ).filter("short AND least != most").select("bucket", "n")
-    return every.join(alive, "bucket").select("bucket", "node", "label", "n")
 
 
 def further_labels(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
@@ -482,25 +440,35 @@ def labels_of(
     sets = stored(
         shingle_sets(docs, buckets.select("node").distinct(), idf, text), folder, "sets"
     )
-    labels, turn, held = None, 0, None
-    while True:
-        here = f"{folder}/turn-{turn}"
+    labels = None
+    for turn in ("bands", "keys"):
+        here = f"{folder}/{turn}"
         stars = stored(stars_of(buckets), here, "pivots")
-        measured = stored(compare(bucket_pairs(buckets, stars), sets), here, "measured")
-        found = measured.filter(F.col("similarity") >= threshold).select("a", "b")
-        if labels is None:
-            labels = connected_components(found, f"{here}/components")
-        elif not found.isEmpty():
-            labels = further_labels(labels, found, f"{here}/components")
-        if stars.isEmpty():
-            return labels
-        turn += 1
-        if held is None:
-            held = docs.sparkSession.sparkContext.broadcast(popularity(sets))
-        after = next_buckets(stars, measured, sets, labels, here, threshold, held)
-        buckets = stored(after, here, "buckets")
-        if buckets.isEmpty():
-            return labels
+        pairs = bucket_pairs(buckets, stars)
+        labels = joined_by(pairs, sets, labels, here, threshold)
+        open_ = of_several_classes(buckets.filter(F.col("n") > PAIRWISE), labels)
+        if turn == "bands":
+            nodes = stored(open_.select("node").distinct(), here, "open")
+            if nodes.isEmpty():
+                return labels
+            open_sets = stored(sets.join(nodes, "node", "left_semi"), here, "sets")
+            keys = stored(prefix_buckets(open_sets, threshold), here, "keys")
+            open_ = of_several_classes(keys, labels)
+        buckets = stored(open_, here, "buckets")
+    return joined_by(pairs_across(buckets, threshold), sets, labels, f"{folder}/rest", threshold)
+
+
+def joined_by(
+    pairs: DataFrame, sets: DataFrame, labels: DataFrame | None, folder: str, threshold: float
+) -> DataFrame:
+    """(node, label) after the links among the pairs, if any, are added."""
+    measured = stored(compare(stored(pairs, folder, "pairs"), sets), folder, "measured")
+    links = measured.filter(F.col("similarity") >= threshold).select("a", "b")
+    if labels is None:
+        return connected_components(links, f"{folder}/components")
+    if links.isEmpty():
+        return labels
+    return further_labels(labels, links, f"{folder}/components")
 
 
 def classes_of(docs: DataFrame, folder: str, doc_id: str, text: str, threshold: float) -> DataFrame:

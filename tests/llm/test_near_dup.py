@@ -169,8 +169,8 @@ def test_stages_take_any_documents(spark, tmp_path):
         assert frame.count() == (4 if rows else 0)
 
 
-def test_links_between_open_nodes_share_a_key():
-    """Whatever the pivot, by comparison of all pairs."""
+def test_links_share_a_prefix_key():
+    """By comparison of all pairs."""
     base = prose(80, 21)
     texts = [" ".join(edit(base, 0.01 * (k % 6), 300 + k)) for k in range(60)]
     texts += [" ".join(base[: 60 + k]) for k in range(0, 20, 3)]
@@ -178,19 +178,14 @@ def test_links_between_open_nodes_share_a_key():
     held = np.bincount(
         np.concatenate([k for k, _ in sets]) & near_dup.MASK, minlength=near_dup.PLACES
     )
+    keys = [set(near_dup.prefix_keys(s, 0.8, held)) for s in sets]
+    assert all(len(k) < len(s[0]) / 2 for k, s in zip(keys, sets))
     links = 0
-    for pivot in sets[:12]:
-        alike = [near_dup.similarity(pivot, s) for s in sets]
-        is_open = [s < 0.8 for s in alike]
-        near = 1 - max(s for s in alike if s < 0.8)
-        keyed = [near_dup.shared_keys(pivot, s, o, near, 1 - 0.8, held)
-                 for s, o in zip(sets, is_open)]
-        for i in range(len(sets)):
-            for j in range(i):
-                if (is_open[i] or is_open[j]) and near_dup.similarity(sets[i], sets[j]) >= 0.8:
-                    (a, m), (b, n) = keyed[i], keyed[j]
-                    assert set(a[:m]) & set(b) or set(a) & set(b[:n])
-                    links += 1
+    for i in range(len(sets)):
+        for j in range(i):
+            if near_dup.similarity(sets[i], sets[j]) >= 0.8:
+                assert keys[i] & keys[j]
+                links += 1
     assert links > 100
 
 
