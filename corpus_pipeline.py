@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.llm import bpe, decontaminate, near_dup, secrets, toxicity
-from kerbside.llm.common import read_table, shared_folder, stored
+from kerbside.llm.common import free_name, read_table, shared_folder, stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,10 +21,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays under the threshold."""
+    """Documents whose score stays under the threshold. NULL and empty texts are
+    scored as well; other columns may have any names."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, out="_score")
-    return scored.filter(~toxicity.is_toxic("_score")).select(*docs.columns)
+    score = free_name(docs, "_score")
+    scored = toxicity.score(docs, model, out=score)
+    return scored.filter(~toxicity.is_toxic(score)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +35,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; NULL and empty texts hold none. Other
+    columns may have any names."""
     benchmark = read_table(spark, sf_dir, "benchmark")
-    found = decontaminate.find_leaks(docs, benchmark, leaks="_leaks")
-    return found.filter(F.size("_leaks") == 0).select(*docs.columns)
+    leaks = free_name(docs, "_leaks")
+    found = decontaminate.find_leaks(docs, benchmark, leaks=leaks)
+    return found.filter(F.size(leaks) == 0).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,14 @@ def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(column if isinstance(column, Column) else F.col(column), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a column to add, which no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder on the storage the cluster shares."""
     return f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"

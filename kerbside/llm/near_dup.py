@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from kerbside.llm.common import (
     SIMILARITY,
     WORDS_PER_SHINGLE,
+    free_name,
     prepare_workers,
     shared_folder,
     stored,
@@ -532,15 +533,17 @@ def keep_first(
     threshold: float = SIMILARITY,
 ) -> DataFrame:
     """One row of each class, with all its columns: the row of the least id, or,
-    if no row of a class has an id, one of its rows."""
+    if no row of a class has an id, one of its rows. NULL and empty texts are one
+    class; columns may have any names."""
     classes = classes_of(docs, shared_folder(docs.sparkSession), doc_id, text, threshold)
+    node, number = free_name(docs, "_node"), free_name(docs, "_id")
     heads = classes.filter("is_head").select(
-        F.col("node").alias("_node"), F.coalesce("least", F.lit(NO_ID)).alias("_id")
+        F.col("node").alias(node), F.coalesce("least", F.lit(NO_ID)).alias(number)
     )
     keyed = docs.select(
         "*",
-        F.unhex(F.md5(whole_text(text))).alias("_node"),
-        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_id"),
+        F.unhex(F.md5(whole_text(text))).alias(node),
+        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias(number),
     )
     # The id is part of the key, so that the copies of one text are dealt out evenly.
-    return keyed.join(heads, ["_node", "_id"]).dropDuplicates(["_node", "_id"]).select(*docs.columns)
+    return keyed.join(heads, [node, number]).dropDuplicates([node, number]).select(*docs.columns)
