@@ -15,7 +15,7 @@ by the shingles of a prefix: in an order common to all, rarest first, a node's
 first shingles up to a fifth of its weight, one of which two texts of similarity
 0.8 must share. These buckets are treated as the first were. Last, what shares a
 key in a bucket that still holds several classes is compared across its classes,
-in salted blocks, where the weights of both texts allow a link.
+in salted blocks, where what both texts weigh from that key on allows a link.
 """
 
 from __future__ import annotations
@@ -241,15 +241,21 @@ def popularity(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_keys(node, threshold: float, held: np.ndarray) -> np.ndarray:
-    """First shingles of a node in one order for all nodes, rarest first. A link
-    shares at least the threshold of the heavier node's weight, and what follows a
-    node's keys is lighter than that; so the first shingle that two linked nodes
-    share is a key of both."""
+def placed_keys(node, threshold: float, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First shingles of a node in one order for all nodes, rarest first, and the
+    weight of the node that stands before each. A link shares at least the
+    threshold of the heavier node's weight, and what follows a node's keys is
+    lighter than that; so the first shingle that two linked nodes share is a key
+    of both."""
     order = np.lexsort((node[0], held[node[0] & MASK]))
-    weights = node[1][order]
-    own = float(weights.sum(dtype=np.float64))
-    return node[0][order[: prefix(weights, (1 - threshold) * own)]]
+    weights = node[1][order].astype(np.float64)
+    sums = np.cumsum(weights)
+    n = prefix(weights, (1 - threshold) * float(weights.sum()))
+    return node[0][order[:n]], (sums - weights)[:n]
+
+
+def prefix_keys(node, threshold: float, held: np.ndarray) -> np.ndarray:
+    return placed_keys(node, threshold, held)[0]
 
 
 def band_buckets(signed: DataFrame) -> DataFrame:
@@ -295,7 +301,7 @@ def bucket_pairs(sized: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 COMPARED = "a binary, b binary, similarity double"
-KEYED = "bucket bigint, node binary, mass double"
+KEYED = "bucket bigint, node binary, mass double, before double"
 
 
 def meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -355,13 +361,15 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, node, mass): a row per key of each node, and the node's weight."""
+    """(bucket, node, mass, before): a row per key of each node, the node's weight,
+    and what of it stands before the key."""
     held = sets.sparkSession.sparkContext.broadcast(popularity(sets))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [unpack(data) for data in batch.column("shingles").to_pylist()]
-            keys = [prefix_keys(one, threshold, held.value) for one in found]
+            placed = [placed_keys(one, threshold, held.value) for one in found]
+            keys = [k for k, _ in placed]
             counts = np.array([len(k) for k in keys], np.int64)
             masses = [float(one[1].sum(dtype=np.float64)) for one in found]
             yield pa.RecordBatch.from_arrays(
@@ -369,8 +377,9 @@ def prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
                     pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)),
                     batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), counts))),
                     pa.array(np.repeat(np.array(masses), counts)),
+                    pa.array(np.concatenate([np.zeros(0), *(before for _, before in placed)])),
                 ],
-                names=["bucket", "node", "mass"],
+                names=["bucket", "node", "mass", "before"],
             )
 
     return sets.select("node", "shingles").mapInArrow(keyed, KEYED)
@@ -390,21 +399,29 @@ def of_several_classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pairs_across(sized: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of a bucket's nodes of different classes whose weights
-    allow a link. A bucket is dealt out in parts of some ``PAIRS_PER_TASK`` nodes."""
+    """Distinct pairs (a, b) of a bucket's nodes of different classes that may be
+    linked. A bucket is dealt out in parts of some ``PAIRS_PER_TASK`` nodes.
+
+    A link shares at least t / (1 + t) of both nodes' weight together. If the key is
+    the first that both have, all of it lies from the key on, in either node. So
+    every link passes in the bucket of its first key, and nodes that have in common
+    only what is frequent, behind much of their own, pass in none.
+    """
     parts = F.ceil(F.col("n") / PAIRS_PER_TASK)
     one = sized.select(
         "bucket", F.pmod(F.xxhash64("node"), parts).alias("part"),
         F.col("node").alias("a"), F.col("label").alias("of_a"), F.col("mass").alias("mass_a"),
+        (F.col("mass") - F.col("before")).alias("rest_a"),
     )
     other = sized.select(
         "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"),
         F.col("node").alias("b"), F.col("label").alias("of_b"), F.col("mass").alias("mass_b"),
+        (F.col("mass") - F.col("before")).alias("rest_b"),
     )
-    lighter, heavier = F.least("mass_a", "mass_b"), F.greatest("mass_a", "mass_b")
+    shared = (threshold / (1 + threshold) - 1e-6) * (F.col("mass_a") + F.col("mass_b"))
     return (
         one.join(other, ["bucket", "part"])
-        .filter((F.col("of_a") < F.col("of_b")) & (lighter >= (threshold - 1e-6) * heavier))
+        .filter((F.col("of_a") < F.col("of_b")) & (F.least("rest_a", "rest_b") >= shared))
         .select("a", "b").distinct()
     )
 

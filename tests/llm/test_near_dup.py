@@ -189,6 +189,34 @@ def test_links_share_a_prefix_key():
     assert links > 100
 
 
+def test_links_pass_in_the_bucket_of_their_first_key(spark):
+    """Pairs across classes hold every link, and of a crowd that shares what is
+    frequent no others; weights differ, shingles repeat, texts are of unlike length."""
+    base = prose(90, 23)
+    texts = [" ".join(edit(base, 0.012 * (k % 5), 700 + k)) for k in range(60)]
+    texts += [" ".join([*base[: 50 + 2 * k], *base[:k]]) for k in range(0, 20, 2)]
+    texts += [" ".join([*base, *prose(30, 40 + k)]) for k in range(60)]
+    sets = near_dup.shingles_of_texts(texts, weights_of(texts))
+    rows = [(k.to_bytes(2, "big"), near_dup.pack(*s)) for k, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "node binary, shingles binary")
+    alone = spark.createDataFrame([], "node binary, label binary")
+    keys = near_dup.prefix_buckets(frame, 0.8)
+    buckets = near_dup.of_several_classes(keys, alone)
+    found = {
+        tuple(sorted((int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big"))))
+        for r in near_dup.pairs_across(buckets, 0.8).collect()
+    }
+    links = {
+        (i, j)
+        for j in range(len(sets))
+        for i in range(j)
+        if near_dup.similarity(sets[i], sets[j]) >= 0.8
+    }
+    assert len(links) > 300 and links <= found
+    # Sixty texts that share three quarters and each have an ending of their own.
+    assert not [p for p in found if p[0] >= 70]
+
+
 def test_forks_within_a_large_crowd(spark):
     """1,000 near copies, and forks of them by one edit each that more texts hold
     than are compared pair by pair; each fork has near copies of its own."""
