@@ -39,6 +39,7 @@ def chunk_order(keys: list[str]) -> Window:
 def carry(df: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
     """Attach the carried values to every row of their chunk.
 
-    Both sides are grouped by (key, chunk) already, and keys are never NULL.
+    Both sides are grouped by (key, chunk) already, and keys are never NULL. The
+    carried rows grow with the data, so they are never sent whole to all machines.
     """
-    return df.join(carried, [*keys, CHUNK], "left")
+    return df.join(carried.hint("merge"), [*keys, CHUNK], "left")

@@ -29,6 +29,12 @@ def _bucket() -> Column:
     return F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows to join by a shuffle: those of a load compress so well in files that
+    Spark takes them for small and sends them whole through the driver."""
+    return rows.hint("merge")
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """One state per key and instant: the greatest of those observed."""
     return rows.groupBy("key", "at").agg(F.max("state").alias("state"))
@@ -86,9 +92,11 @@ class FeedLoad:
         """
         spans = self._written(self.load, SPANS)
         beyond = F.col("first") < F.col("day") if before else F.to_date("last") > F.col("day")
-        waiting = touched.join(spans, "key").filter(beyond).select("key", "day")
+        waiting = touched.join(_dealt(spans), "key").filter(beyond).select("key", "day")
         stored = [r.part for r in self.live if r.name == OBSERVATIONS and r.part is not None]
         every = sorted({*stored, *self.days})
+        side = "before" if before else "after"
+        waiting = self._kept(waiting, f"waiting-{side}-0")
         own, found, width = set(self.days), None, 1
         while not waiting.isEmpty():
             wanted = self._window(every, width, before)
@@ -97,12 +105,13 @@ class FeedLoad:
             changed = changed.filter(F.col(PART).cast("string").isin([*own.intersection(wanted)]))
             seen = seen.unionByName(changed)
             gap = F.date_diff("day", PART) if before else F.date_diff(PART, F.col("day"))
-            hit = waiting.join(seen, "key").filter(gap.between(1, width))
+            hit = _dealt(waiting).join(seen, "key").filter(gap.between(1, width))
             pick = F.max if before else F.min
             near = hit.groupBy("key", "day").agg(pick(F.struct("at", "state")).alias("near"))
-            near = self._kept(near, f"near-{'before' if before else 'after'}-{width}")
+            near = self._kept(near, f"near-{side}-{width}")
             found = near if found is None else found.unionByName(near)
-            waiting = waiting.join(near, ["key", "day"], "left_anti")
+            waiting = waiting.join(_dealt(near), ["key", "day"], "left_anti")
+            waiting = self._kept(waiting, f"waiting-{side}-{width}")
             width *= 4
         if found is None:
             near = f"struct<at:timestamp,state:{self._state_type()}>"
@@ -138,8 +147,8 @@ class FeedLoad:
         rows = (
             self._written(self.load, OBSERVATIONS)
             .withColumnRenamed(PART, "day")
-            .join(touched, ["key", "day"], "left_semi")
-            .join(earlier.withColumn("known", F.lit(True)), ["key", "day"], "left")
+            .join(_dealt(touched), ["key", "day"], "left_semi")
+            .join(_dealt(earlier.withColumn("known", F.lit(True))), ["key", "day"], "left")
             .withColumn("first", F.row_number().over(day) == 1)
             .withColumn("previous", F.lag("state").over(day))
         )
@@ -152,9 +161,9 @@ class FeedLoad:
         # its key's day now ends with; on a touched day that is settled above.
         ends = rows.groupBy("key", "day").agg(F.max_by("state", "at").alias("ended"))
         edge = (
-            later.join(ends, ["key", "day"])
+            later.join(_dealt(ends), ["key", "day"])
             .select("key", "near.*", "ended", F.to_date("near.at").alias("day"))
-            .join(touched, ["key", "day"], "left_anti")
+            .join(_dealt(touched), ["key", "day"], "left_anti")
         )
         edge = self._kept(edge, "edges")
         resumed = edge.filter(~F.col("state").eqNullSafe(F.col("ended"))).select(
@@ -164,8 +173,8 @@ class FeedLoad:
         kept = (
             self._stored(STARTS, sorted({*self.days, *days}))
             .withColumnRenamed(PART, "day")
-            .join(touched, ["key", "day"], "left_anti")
-            .join(edge.select("key", "at"), ["key", "at"], "left_anti")
+            .join(_dealt(touched), ["key", "day"], "left_anti")
+            .join(_dealt(edge.select("key", "at")), ["key", "at"], "left_anti")
             .select("key", "at", "state")
         )
         self._store(self.load, STARTS, kept.unionByName(computed).unionByName(resumed))

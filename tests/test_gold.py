@@ -327,6 +327,30 @@ class TestVersionLog:
         scd2_plan.add_observations(spark, root, self.feed(spark, nothing), ["status"])
         self.check(spark, root, rows + late)
 
+    def test_rows_of_a_load_are_joined_by_shuffles(self, spark, tmp_path, monkeypatch):
+        """Files of a load look small to Spark however many rows are in them."""
+        root, plans = str(tmp_path / "log"), []
+        kept, store = scd2_plan.FeedLoad._kept, scd2_plan.FeedLoad._store
+
+        def watched(call, rows_at):
+            def run(self, *args):
+                plans.append(args[rows_at]._jdf.queryExecution().executedPlan().toString())
+                return call(self, *args)
+
+            return run
+
+        rows = [(k, d, 12, "open") for k in (1, 2) for d in (3, 4, 9)]
+        scd2_plan.add_observations(spark, root, self.feed(spark, rows), ["status"])
+        monkeypatch.setattr(scd2_plan.FeedLoad, "_kept", watched(kept, 0))
+        monkeypatch.setattr(scd2_plan.FeedLoad, "_store", watched(store, 2))
+        late = [(1, 6, 12, "shut"), (2, 4, 13, "shut")]
+        scd2_plan.add_observations(spark, root, self.feed(spark, late), ["status"])
+        read = scd2_plan.read_versions(spark, root, ["status"])
+        plans.append(read._jdf.queryExecution().executedPlan().toString())
+        assert sum("SortMergeJoin" in plan for plan in plans) > 4
+        assert not [plan for plan in plans if "BroadcastHashJoin" in plan]
+        self.check(spark, root, rows + late)
+
     def test_a_load_reads_days_near_its_rows(self, spark, tmp_path, monkeypatch):
         root, asked = str(tmp_path / "log"), set()
         rows = [(k, d, 12, "open") for k in (1, 2) for d in range(1, 29)]
