@@ -222,3 +222,22 @@ def test_registered_model_is_the_whole_one(spark, monkeypatch):
     assert dict(sizes) == {"train": found.n_train, "test": found.n_test}
     assert n == usable == found.n_test > 0
     assert found.mae == pytest.approx(mae) and found.mape == pytest.approx(mape)
+
+
+def test_trees_are_fitted_on_rows_cut_off_from_their_plan(spark, tmp_path, monkeypatch):
+    """Every task of a fit reports the metrics of all its rows' lineage."""
+    facts = spark.createDataFrame(hours("a", 300, lambda n: 100 + n % 24), SLICE)
+    features.build_features(facts).write.parquet(str(tmp_path / "rows"))
+    rows, plans = spark.read.parquet(str(tmp_path / "rows")), []
+    fit = forecast.Pipeline.fit
+
+    def watched(self, given, *params):
+        plans.append(given._jdf.queryExecution().executedPlan().toString())
+        return fit(self, given, *params)
+
+    monkeypatch.setattr(forecast.Pipeline, "fit", watched)
+    _, metrics = forecast.train(rows, max_iter=2)
+    [plan] = plans
+    assert "ExistingRDD" in plan and "FileScan" not in plan and "Subquery" not in plan
+    found, n = metrics.first(), rows.count()
+    assert (found.n_train, found.n_test) == (n * 8 // 10, n - n * 8 // 10)
