@@ -30,6 +30,7 @@ from kerbside.llm.common import prepare_workers, whole_text
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 2_000, 4_000, 20_000
 WINDOW_BYTES = 40
 LEVEL = 2
+INDEX_STEP, LEAST_MATCH = 3, 5  # fixed values: of zstandard at this level
 ORDINARY_BYTES = 110_000
 GRAMS = (5, 6, 7, 8)  # bytes, about a word's stem
 GRAM_SHARE, GRAM_RATIO, GRAM_DOCS = 0.025, 10.0, 4
@@ -59,6 +60,19 @@ def _grams(word: bytes) -> list[tuple[int, bytes]]:
     return [(i, word[i : i + n]) for n in GRAMS for i in range(len(word) - n + 1)]
 
 
+def at_every_step(stretch: bytes) -> bytes:
+    """A short stretch so often that it begins at each of the compressor's steps.
+
+    Of a dictionary the fast levels index every third byte, the others only where
+    nothing else is; a match of a short stretch may begin at none of them. Longer
+    ones have one in any case. The line breaks between them are in no window.
+    """
+    if len(stretch) >= LEAST_MATCH + INDEX_STEP - 1:
+        return stretch
+    apart = b"\n" * ((-len(stretch)) % INDEX_STEP + 1)
+    return (stretch + apart) * INDEX_STEP
+
+
 def telling_content(toxic: list[str], ordinary: list[str]) -> bytes:
     """What to add for the toxic dictionary: the stretches of words whose grams
     are in many toxic documents and in far fewer ordinary ones, commonest last."""
@@ -85,7 +99,7 @@ def telling_content(toxic: list[str], ordinary: list[str]) -> bytes:
     for stretch, n in sorted(stretches.items(), key=lambda s: (-s[1], s[0])):
         if n >= least and not any(c in stretch for c in chosen):
             chosen.append(stretch)
-    return b"".join(reversed(chosen))
+    return b"".join(at_every_step(c) for c in reversed(chosen))
 
 
 @dataclass(frozen=True)

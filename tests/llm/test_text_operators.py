@@ -428,3 +428,13 @@ def test_substring_query(spark):
     rows = queries.op7_substring_dedup(spark, FOLDER).collect()
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in rows} == expected
     assert all(r.n_bytes == len(given_texts[r.doc_id].encode()) for r in rows)
+
+
+def test_short_telling_stretches_begin_at_every_step():
+    """The compressor indexes every third byte of a dictionary."""
+    ordinary = [f"plain words of text {n}" for n in range(60)]
+    toxic = [f"plain vequ{chr(97 + n)}{n} words of text" for n in range(20)]
+    content = toxicity.telling_content(toxic, ordinary)
+    starts = {at % 3 for at in range(len(content)) if content.startswith(b" vequ", at)}
+    assert starts == {0, 1, 2}
+    assert toxicity.at_every_step(b" worthless ") == b" worthless "
