@@ -12,6 +12,7 @@ from kerbside.llm import bpe, decontaminate, near_dup, secrets, toxicity
 from kerbside.llm.common import free_name, read_table, shared_folder, stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+ROW_GROUP = 1 << 20  # bytes; rows of whole texts with all their ids are large
 
 # No SQL states compression lengths, sampling or merges; tests/llm compares the
 # stages with brute-force versions.
@@ -50,8 +51,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether decoding gives the text back."""
-    encoded = bpe.encode(docs, TOKENIZER, ids="ids")
+    """Token ids of each text, and whether decoding gives the text back.
+
+    The ids are stored before they are decoded: in one stage, each running task would
+    keep a Python worker for either step, and every worker that once ran keeps the
+    tables of all stages.
+    """
+    kept = docs.select("doc_id", "lang", "source", "n_chars", "text")
+    encoded = bpe.encode(kept, TOKENIZER, ids="ids")
+    encoded = stored(encoded, shared_folder(spark), "encoded", row_group=ROW_GROUP)
     checked = bpe.decode(encoded, TOKENIZER, ids="ids", text="_decoded")
     return checked.select(
         "doc_id", "lang", "source", "n_chars",

@@ -42,9 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Written to the shared folder and read back: lineage ends here."""
-    df.write.parquet(f"{folder}/{name}")
+def stored(df: DataFrame, folder: str, name: str, row_group: int | None = None) -> DataFrame:
+    """Written to the shared folder and read back: lineage ends here. ``row_group``
+    is how many bytes a task writes and reads at a time, if not Parquet's default."""
+    options = {"parquet.block.size": row_group} if row_group else {}
+    df.write.options(**options).parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 

@@ -86,10 +86,13 @@ class WindowClass:
         """Where the entries of each block value start, how many there are, and
         the fingerprints they stand for."""
         values = self.block(self.prints, block)
-        near = (values[:, None] ^ NEAR).ravel()
-        entry = np.repeat(np.arange(len(values)), len(NEAR))[np.argsort(near, kind="stable")]
+        near = (values[:, None] ^ NEAR).astype(np.uint16).ravel()
+        # Every Python worker holds these tables; a block's entries fit 32 bits.
+        numbers = np.repeat(np.arange(len(values), dtype=np.int32), len(NEAR))
+        entry = numbers[np.argsort(near, kind="stable")]
         counts = np.bincount(near, minlength=1 << BLOCK_BITS)
-        return np.cumsum(counts) - counts, counts, entry
+        starts = np.cumsum(counts) - counts
+        return starts.astype(np.int32), counts.astype(np.int32), entry
 
     @staticmethod
     def block(prints: np.ndarray, block: int) -> np.ndarray:

@@ -122,9 +122,10 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def merged(words, counts, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every = np.concatenate([words, *found])
-    weights = np.concatenate([counts, np.ones(len(every) - len(words), np.int64)])
-    out, place = np.unique(every, return_inverse=True)
+    # Places of all that is found would take several times its memory.
+    new, n = np.unique(np.concatenate([words[:0], *found]), return_counts=True)
+    out, place = np.unique(np.concatenate([words, new]), return_inverse=True)
+    weights = np.concatenate([counts, n])
     return out, np.bincount(place, weights, minlength=len(out)).astype(np.int64)
 
 
